@@ -98,10 +98,8 @@ def shingle_hashes(text: str | None, size: int = SHINGLE_WORDS) -> np.ndarray:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(_hashes.__getitem__, w), np.uint64, n)
     if n < size:
-        one = _SHORT * np.uint64(n)
-        for i in range(n):
-            one = np.uint64((int(one) + int(h[i]) * int(_WEIGHTS[i % 5])) & 0xFFFFFFFFFFFFFFFF)
-        return mix(np.array([one], np.uint64))
+        one = int(_SHORT) * n + sum(int(h[i]) * int(_WEIGHTS[i % 5]) for i in range(n))
+        return mix(np.array([one & 0xFFFFFFFFFFFFFFFF], np.uint64))
     total = h[: n - size + 1] * _WEIGHTS[0]
     for i in range(1, size):
         total += h[i : n - size + 1 + i] * (_WEIGHTS[i % 5] + np.uint64(2 * (i // 5)))
