@@ -140,3 +140,12 @@ def batches(it: Iterator, text: str) -> Iterator:
         ends = pdf[text].str.len().fillna(0).astype("int64").cumsum().to_numpy() // (16 << 20)
         for _, part in pdf.groupby(ends, sort=False):
             yield part
+
+
+def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with _key, a long that is unique and in doc_id order (null last, equal ones by text): doc_id itself where it is unique."""
+    repeats = docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count()
+    if not repeats:
+        return docs.withColumn("_key", F.col("doc_id").cast("long"))
+    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), text)
+    return stage(ordered.withColumn("_key", F.monotonically_increasing_id()), "keyed")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, langid, mixing, warc
+from . import bpe, fingerprints, langid, mixing, suffix_dedup, warc
 from .common import load
 
 
@@ -67,6 +67,10 @@ FROM k
 """
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(load(spark, sf_dir, "documents"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_next(load(spark, sf_dir, "documents"))
 
@@ -77,6 +81,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op5_warc, op6_language_id, op7_mixing, op9_fingerprints, op10_bpe)
+    for f in (op5_warc, op6_language_id, op7_mixing, op8_suffix_dedup, op9_fingerprints, op10_bpe)
 }
 SQL: dict[str, str] = {"op5_warc": OP5_SQL, "op7_mixing": OP7_SQL}
