@@ -142,10 +142,10 @@ def batches(it: Iterator, text: str) -> Iterator:
             yield part
 
 
-def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with _key, a long that is unique and in doc_id order (null last, equal ones by text): doc_id itself where it is unique."""
+def keyed(docs: DataFrame, text: str = "text") -> tuple[DataFrame, bool]:
+    """docs with _key, a long that is unique and in doc_id order (null last, equal ones by text); whether it is doc_id itself."""
     repeats = docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count()
     if not repeats:
-        return docs.withColumn("_key", F.col("doc_id").cast("long"))
+        return docs.withColumn("_key", F.col("doc_id").cast("long")), True
     ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), text)
-    return stage(ordered.withColumn("_key", F.monotonically_increasing_id()), "keyed")
+    return stage(ordered.withColumn("_key", F.monotonically_increasing_id()), "keyed"), False

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, langid, mixing, suffix_dedup, warc
+from . import bpe, fingerprints, langid, mixing, ngram_join, suffix_dedup, warc
 from .common import load
 
 
@@ -17,6 +17,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(load(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.read_archives(warc.write_archives(load(spark, sf_dir, "pages")))
     return read.where("record_type IS NOT NULL").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -81,6 +85,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op5_warc, op6_language_id, op7_mixing, op8_suffix_dedup, op9_fingerprints, op10_bpe)
+    for f in (op2_ngram_join, op5_warc, op6_language_id, op7_mixing, op8_suffix_dedup, op9_fingerprints, op10_bpe)
 }
 SQL: dict[str, str] = {"op5_warc": OP5_SQL, "op7_mixing": OP7_SQL}

@@ -273,7 +273,8 @@ def _cut(with_bytes: bool):
 
 def dedup(docs: DataFrame, length: int = LENGTH, with_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes) for each document."""
-    d = keyed(docs.select("doc_id", "text")).select("doc_id", F.col("_key").alias("key"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    d, _ = keyed(docs.select("doc_id", "text"))
+    d = d.select("doc_id", F.col("_key").alias("key"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     spans = repeated_spans(d.select("key", "text"), length)
     spans = spans.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes
