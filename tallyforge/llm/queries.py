@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, langid, mixing, ngram_join, suffix_dedup, warc
+from . import bpe, fingerprints, langid, line_dedup, mixing, ngram_join, pii, suffix_dedup, warc
 from .common import load
 
 
@@ -21,6 +21,40 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP3_SQL = """
+WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+e AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM a),
+l AS (SELECT doc_id, line, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, count(*) OVER (PARTITION BY doc_id) AS n
+      FROM e WHERE length(trim(line)) > 0),
+w AS (SELECT doc_id, i, k, n, line, lead(line) OVER d AS line2, lead(line, 2) OVER d AS line3, lead(i, 2) OVER d AS i3,
+             max(i) OVER (PARTITION BY doc_id) AS i_max
+      FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY k)),
+v AS (SELECT doc_id, i AS first, k, least(n, 3) AS width, CASE WHEN n < 3 THEN i_max ELSE i3 END AS last, line, line2, line3
+      FROM w WHERE k <= greatest(n - 2, 1)),
+o AS (SELECT *, row_number() OVER (PARTITION BY width, line, line2, line3 ORDER BY doc_id, k) AS occurrence FROM v),
+g AS (SELECT doc_id, unnest(generate_series(first, last)) AS i FROM o WHERE occurrence > 1),
+r AS (SELECT DISTINCT doc_id, i FROM g),
+f AS (SELECT e.doc_id, e.i, e.line, r.i IS NOT NULL AS gone, length(trim(e.line)) > 0 AS filled,
+             lag(r.i IS NOT NULL, 1, false) OVER (PARTITION BY e.doc_id ORDER BY e.i) AS gone_before
+      FROM e LEFT JOIN r ON e.doc_id = r.doc_id AND e.i = r.i),
+s AS (SELECT doc_id, CAST(count(*) FILTER (filled) AS BIGINT) AS n_lines, CAST(count(*) FILTER (filled AND gone) AS BIGINT) AS n_removed,
+             CAST(count(*) FILTER (gone AND NOT gone_before) AS BIGINT) AS n_runs,
+             coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS kept FROM f GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs,
+       sha256(CASE WHEN d.text IS NOT NULL THEN kept END) AS kept_sha256
+FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id
+"""
+
+
+def op4_pii(spark: SparkSession, sf_dir: str, key: str = "tallyforge") -> DataFrame:
+    return pii.pseudonyms(load(spark, sf_dir, "documents").select("doc_id", "text"), key)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.read_archives(warc.write_archives(load(spark, sf_dir, "pages")))
     return read.where("record_type IS NOT NULL").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -85,6 +119,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_ngram_join, op5_warc, op6_language_id, op7_mixing, op8_suffix_dedup, op9_fingerprints, op10_bpe)
+    for f in (op2_ngram_join, op3_line_dedup, op4_pii, op5_warc, op6_language_id, op7_mixing, op8_suffix_dedup, op9_fingerprints, op10_bpe)
 }
-SQL: dict[str, str] = {"op5_warc": OP5_SQL, "op7_mixing": OP7_SQL}
+SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op5_warc": OP5_SQL, "op7_mixing": OP7_SQL}
