@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, langid, line_dedup, mixing, ngram_join, pii, suffix_dedup, warc
+from . import ann, bpe, fingerprints, langid, line_dedup, mixing, ngram_join, pii, suffix_dedup, warc
 from .common import load
 
 
@@ -17,6 +17,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(load(spark, sf_dir, "documents"))
 
@@ -119,6 +123,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_ngram_join, op3_line_dedup, op4_pii, op5_warc, op6_language_id, op7_mixing, op8_suffix_dedup, op9_fingerprints, op10_bpe)
+    for f in (op1_ann, op2_ngram_join, op3_line_dedup, op4_pii, op5_warc, op6_language_id, op7_mixing, op8_suffix_dedup, op9_fingerprints, op10_bpe)
 }
 SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op5_warc": OP5_SQL, "op7_mixing": OP7_SQL}
