@@ -164,7 +164,8 @@ MASKS = {"email": _email, "secret": _secret, "ip": _ip, "card": _card, "phone":
 def pseudonyms(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """docs with its personal data replaced in text, and n_<kind>, the number of each kind that was replaced."""
     found = F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
-    d = docs.withColumn("_found", F.coalesce(found, F.array().cast("array<struct<m:string,kind:string>>")))
+    # exploding an array of one keeps the optimizer from computing the matches anew for every use
+    d = docs.select("*", F.explode(F.array(F.coalesce(found, F.array().cast("array<struct<m:string,kind:string>>")))).alias("_found"))
 
     def masked(x: Column) -> Column:
         out = None
