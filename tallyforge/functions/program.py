@@ -1,0 +1,301 @@
+"""Source programs (T1-T4, T9, T11-T15, T20): one function of integer parameters, with annotation comments, in a small C.
+
+Sources are scanned once into regions (code, comment, annotation, literal); all else works on the code with the rest
+blanked, so that positions stay those of the source. Functions here are plain Python for use inside Arrow functions.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from dataclasses import asdict, dataclass, field
+
+WORD = re.compile(r"[A-Za-z_]\w*")
+TYPES = r"(?:(?:unsigned|signed|const|static|long|short)\s+)*(?:int|char|long|short|unsigned|_Bool|bool)"
+UNSUPPORTED = re.compile(r"\b(?:float|double)\b|\b" + TYPES + r"\s*\*|\b" + TYPES + r"\s+\w+\s*\[")
+LEVELS = ("exact", "near", "alpha", "constants", "shape", "ordered", "profile")
+NONDET = re.compile(r"^(?:unknown\w*|__VERIFIER_nondet_\w+|nondet\w*)$")
+
+
+def regions(source: str) -> list[tuple[str, int, int]]:
+    """(kind, start, stop), covering the source: code, literal, comment, or annotation (/*@ ... */ and //@ ...)."""
+    pattern = re.compile(r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|/\*.*?(?:\*/|\Z)|//[^\n]*', re.S)
+    out, at = [], 0
+    for m in pattern.finditer(source):
+        if m.start() > at:
+            out.append(("code", at, m.start()))
+        kind = "literal" if m[0][0] in "\"'" else "annotation" if m[0][2:3] == "@" else "comment"
+        out.append((kind, m.start(), m.end()))
+        at = m.end()
+    if at < len(source):
+        out.append(("code", at, len(source)))
+    return out
+
+
+def _blank(text: str) -> str:
+    return re.sub(r"[^\n]", " ", text)
+
+
+def without(source: str, *kinds: str) -> str:
+    """The source, of the same length, with regions of these kinds blanked."""
+    return "".join(_blank(source[a:b]) if k in kinds else source[a:b] for k, a, b in regions(source))
+
+
+def code_only(source: str) -> str:
+    return without(source, "comment", "annotation", "literal")
+
+
+def matching(text: str, at: int) -> int:
+    """Place of the bracket that closes the one at `at`; -1 if none does."""
+    close = {"(": ")", "{": "}", "[": "]"}[text[at]]
+    depth = 0
+    for i in range(at, len(text)):
+        depth += (text[i] == text[at]) - (text[i] == close)
+        if not depth:
+            return i
+    return -1
+
+
+def annotation_clauses(source: str, keyword: str) -> list[tuple[int, int, str]]:
+    """(start, stop, expression) of the clauses `keyword ... ;` in annotations. A `;` inside brackets or after a quantifier's binder ends nothing."""
+    out = []
+    for kind, a, b in regions(source):
+        if kind != "annotation":
+            continue
+        for m in re.finditer(rf"\b{keyword}\b", source[a:b]):
+            i, depth, binder = a + m.end(), 0, False
+            while i < b:
+                c = source[i]
+                depth += (c in "([{") - (c in ")]}")
+                if source.startswith(("\\forall", "\\exists"), i):
+                    binder = True
+                if c == ";" and not depth:
+                    if not binder:
+                        break
+                    binder = False
+                i += 1
+            if i < b:
+                out.append((a + m.start(), i + 1, " ".join(source[a + m.end() : i].split())))
+    return out
+
+
+def strip_target(source: str) -> str:
+    """Assert and ensures clauses, executable asserts and error labels blanked; requires stays, positions too."""
+    out = list(source)
+
+    def hide(a: int, b: int) -> None:
+        out[a:b] = _blank(source[a:b])
+
+    for word in ("assert", "ensures"):
+        for a, b, _ in annotation_clauses(source, word):
+            hide(a, b)
+    code = code_only(source)
+    for m in re.finditer(r"\b(?:assert|__VERIFIER_assert|static_assert)\s*(\()", code):
+        if (end := matching(code, m.start(1))) >= 0:
+            stop = re.match(r"\s*;?", code[end + 1 :])
+            hide(m.start(), end + 1 + stop.end())
+    for m in re.finditer(r"\bERROR\s*:", code):
+        hide(m.start(), m.end())
+    return "".join(out)
+
+
+@dataclass
+class Loop:
+    guard: str
+    body: str
+    kw_start: int
+    body_open: int
+    body_close: int
+
+
+@dataclass
+class Program:
+    source: str
+    func_name: str = ""
+    params: list[str] = field(default_factory=list)
+    requires: str = ""
+    post: str = ""
+    pre_vars: list[str] = field(default_factory=list)
+    local_inits: list[tuple[str, str]] = field(default_factory=list)
+    unsigned_vars: list[str] = field(default_factory=list)
+    loops: list[Loop] = field(default_factory=list)
+
+    def row(self) -> dict:
+        return asdict(self)
+
+
+PROGRAM = (
+    "struct<source:string,func_name:string,params:array<string>,requires:string,post:string,pre_vars:array<string>,local_inits:array<struct<name:string,expr:string>>,"
+    "unsigned_vars:array<string>,loops:array<struct<guard:string,body:string,kw_start:int,body_open:int,body_close:int>>>"
+)
+
+
+def find_loops(code: str, start: int = 0, stop: int | None = None) -> list[Loop]:
+    """Loops in order of appearance; a for loop's guard is its middle part, a missing one reads 1."""
+    out, stop = [], len(code) if stop is None else stop
+    for m in re.finditer(r"\b(while|for)\s*(\()", code[:stop]):
+        if m.start() < start or (end := matching(code, m.start(2))) < 0:
+            continue
+        inside = code[m.end() : end]
+        guard = inside if m[1] == "while" else (inside.split(";") + ["", ""])[1]
+        rest = re.match(r"\s*", code[end + 1 :]).end() + end + 1
+        if code[rest : rest + 1] == "{":
+            close = matching(code, rest)
+            opened = rest
+        else:
+            opened, close = rest - 1, code.find(";", rest)
+        if close < 0:
+            continue
+        out.append(Loop(" ".join(guard.split()) or "1", code[opened + 1 : close].strip(), m.start(), opened, close))
+    return out
+
+
+def parse_program(source: str) -> Program:
+    """T4: the function that holds the first loop, or else the last one. Raises ValueError for what is not supported."""
+    code = code_only(source)
+    if UNSUPPORTED.search(code):
+        raise ValueError("only integer variables are supported")
+    heads = []
+    for m in re.finditer(rf"\b(?:{TYPES}|void)\s+([A-Za-z_]\w*)\s*(\()", code):
+        close = matching(code, m.start(2))
+        body = re.match(r"\s*\{", code[close + 1 :]) if close >= 0 else None
+        if body:
+            opened = close + body.end()
+            heads.append((m[1], code[m.end() : close], opened, matching(code, opened)))
+    heads = [h for h in heads if h[3] >= 0]
+    if not heads:
+        raise ValueError("no function")
+    loops = {h[0]: find_loops(code, h[2], h[3]) for h in heads}
+    name, args, opened, close = next((h for h in heads if loops[h[0]]), heads[-1])
+    params, unsigned = [], []
+    for a in args.split(","):
+        if w := WORD.findall(a):
+            if w != ["void"]:
+                params.append(w[-1])
+                unsigned += [w[-1]] if "unsigned" in w[:-1] else []
+    inits = []
+    for m in re.finditer(rf"(?<![\w(])({TYPES})\s+([^;(){{}}]*(?:\([^;{{}}]*)?);", code[opened + 1 : close]):
+        for part in _split_commas(m[2]):
+            var, _, expr = part.partition("=")
+            if re.fullmatch(r"\s*[A-Za-z_]\w*\s*", var):
+                inits.append((var.strip(), " ".join(expr.split())))
+                unsigned += [var.strip()] if "unsigned" in m[1] else []
+    known = list(dict.fromkeys([*params, *(n for n, _ in inits)]))
+    clause = lambda word: " && ".join(f"({e})" for _, _, e in annotation_clauses(source, word))
+    return Program(source, name, params, clause("requires"), clause("ensures") or clause("assert"), known, inits, unsigned, loops[name])
+
+
+def _split_commas(text: str) -> list[str]:
+    out, depth = [""], 0
+    for c in text:
+        depth += (c in "([") - (c in ")]")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
+def constants(source: str) -> dict[str, int]:
+    """Integer macros and constants of a source."""
+    code = code_only(source)
+    found = re.findall(r"^\s*#\s*define\s+([A-Za-z_]\w*)\s+\(?\s*(-?\d+)\s*\)?\s*$", code, re.M) + re.findall(r"\bconst\s+int\s+([A-Za-z_]\w*)\s*=\s*(-?\d+)\s*;", code)
+    return {n: int(v) for n, v in found}
+
+
+def modified_vars(body: str) -> list[str]:
+    """Variables that a statement assigns, sorted."""
+    found = re.findall(r"([A-Za-z_]\w*)\s*(?:\+\+|--|(?:<<|>>|[-+*/%&|^])?=(?!=))", body) + re.findall(r"(?:\+\+|--)\s*([A-Za-z_]\w*)", body)
+    return sorted(set(found))
+
+
+def while_form(source: str) -> str:
+    """While (1) { if (C) break; ... } becomes while (!(C)) { ... }."""
+    out = source
+    while True:
+        m = re.search(r"\bwhile\s*\(\s*(?:1|true)\s*\)\s*\{\s*if\s*(\()", out)
+        if not m or (end := matching(out, m.start(1))) < 0:
+            return out
+        stop = re.match(r"\s*(?:\{\s*break\s*;\s*\}|break\s*;)", out[end + 1 :])
+        if not stop:
+            return out
+        out = f"{out[: m.start()]}while (!({out[m.end() : end].strip()})) {{{out[end + 1 + stop.end() :]}"
+
+
+TOKEN = re.compile(r"[A-Za-z_]\w*|\d+|==|!=|<=|>=|&&|\|\||<<|>>|\+\+|--|[-+*/%]=|[^\s\w]")
+KEEP = {"if", "else", "while", "for", "do", "return", "break", "continue", "int", "void", "unsigned", "long", "short", "char", "const"}
+
+
+def alpha(tokens: list[str], numbers: bool) -> list[str]:
+    names: dict[str, str] = {}
+    out = []
+    for t in tokens:
+        if NONDET.match(t):
+            out.append("NONDET")
+        elif WORD.fullmatch(t) and t not in KEEP:
+            out.append(names.setdefault(t, f"v{len(names)}"))
+        else:
+            out.append("NUM" if numbers and t.isdigit() and t not in ("0", "1") else t)
+    return out
+
+
+def control_skeleton(tokens: list[str]) -> list[str]:
+    """Control words, braces and the operators of conditions, in order."""
+    return [t for t in tokens if t in ("if", "else", "while", "for", "do", "break", "continue", "return", "{", "}", "<", "<=", ">", ">=", "==", "!=", "&&", "||")]
+
+
+def structural_features(p: Program) -> dict[str, str]:
+    """Bucketed counts of what a program is built of."""
+    code = code_only(p.source)
+    body = p.loops[0].body if p.loops else ""
+    cap = lambda n, most=3: str(n) if n < most else f"{most}+"
+    count = lambda pattern, text: len(re.findall(pattern, text))
+    return {
+        "params": cap(len(p.params)), "locals": cap(len(p.local_inits), 5), "loops": cap(len(p.loops)), "nested": str(any(a.body_open < b.kw_start < a.body_close for a in p.loops for b in p.loops)),
+        "ifs": cap(count(r"\bif\b", body)), "else": cap(count(r"\belse\b", body)), "breaks": cap(count(r"\bbreak\b", body)), "modified": cap(len(modified_vars(body)), 5),
+        "mul": cap(count(r"\w\s*\*\s*\w", body)), "div": cap(count(r"/(?![/*])", body)), "mod": cap(count("%", body)), "nondet": cap(sum(bool(NONDET.match(w)) for w in WORD.findall(code))),
+        "guard_ops": cap(count(r"&&|\|\|", p.loops[0].guard if p.loops else "")), "guard_kind": "constant" if p.loops and p.loops[0].guard in ("1", "true") else "relation",
+        "requires": str(bool(p.requires)), "unsigned": str(bool(p.unsigned_vars)),
+    }
+
+
+def fingerprint(source: str) -> dict[str, str | list[str]]:
+    """Digests of seven representations, from the text itself to a profile of features; the cell (a coarse class) and the bag of features."""
+    p = parse_program(source)
+    t = TOKEN.findall(while_form(code_only(source)))
+    near = ["FUNC" if x == p.func_name else x for x in t]
+    f = structural_features(p)
+    skeleton = control_skeleton(t)
+    made = {
+        "exact": source, "near": " ".join(near), "alpha": " ".join(alpha(near, False)), "constants": " ".join(alpha(near, True)), "shape": " ".join(x for x in skeleton if x not in "{}"),
+        "ordered": " ".join(skeleton), "profile": repr(sorted(f.items())),
+    }
+    return {k: hashlib.sha256(v.encode()).hexdigest() for k, v in made.items()} | {"cell": f"{f['loops']}/{f['nested']}/{f['guard_kind']}", "bag": sorted(f"{k}={v}" for k, v in f.items())}
+
+
+def level_of(p: Program) -> str:
+    """Easy, medium or challenging, or why a program is not eligible."""
+    if not p.loops:
+        return "no_loop"
+    f = structural_features(p)
+    weight = sum(f[k] != "0" for k in ("ifs", "mul", "div", "mod", "breaks")) + (f["nested"] == "True") + (len(p.loops) > 1)
+    return "easy" if weight == 0 else "medium" if weight <= 2 else "challenging"
+
+
+def determinized(source: str) -> tuple[str, list[str]]:
+    """Each call of an unknown becomes a parameter of its own; the source and the new parameters."""
+    p, new = parse_program(source), []
+
+    def fresh(m: re.Match) -> str:
+        new.append(f"oracle_{len(new)}")
+        return new[-1]
+
+    code = code_only(source)
+    open_ = re.search(rf"\b{re.escape(p.func_name)}\s*\(", code).end()
+    head, body = code[:open_], code[open_:]
+    body = re.sub(r"\b(?:unknown\w*|nondet\w*|__VERIFIER_nondet_\w+)\s*\(\s*\)", fresh, body)
+    if not new:
+        return source, []
+    extra = ", ".join(f"int {n}" for n in new)
+    empty = re.match(r"\s*(?:void\s*)?\)", body)
+    return head + extra + (body[empty.end() - 1 :] if empty else ", " + body), new
