@@ -31,8 +31,8 @@ def gated(rows: DataFrame, ledger: DataFrame, key: str, version: str | None = No
 def fail_closed(gated_rows: DataFrame) -> DataFrame:
     """The rows, unless any is not kept: then reading them raises."""
     bad = gated_rows.agg(F.count_if(F.col("status") != "kept").alias("bad"))
-    check = bad.select(F.assert_true(F.col("bad") == 0, F.lit("rows are missing, stale or unscorable")).alias("_ok"))
-    return gated_rows.crossJoin(F.broadcast(check)).drop("_ok", "status")  # one row
+    held = F.when(F.col("bad") == 0, True).otherwise(F.raise_error("rows are missing, stale or unscorable").cast("boolean"))
+    return gated_rows.crossJoin(F.broadcast(bad)).where(held).drop("bad", "status")  # one row; a filter, as unused columns are not computed
 
 
 def paired_outcomes(a: DataFrame, b: DataFrame, key: str, ok: str) -> DataFrame:

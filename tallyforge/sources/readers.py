@@ -61,8 +61,9 @@ def read_sources(spark: SparkSession, path: str | list[str], pattern: str = "*.c
 
 def checked_count(df: DataFrame, expected: int) -> DataFrame:
     """Df, whose read fails unless it has `expected` rows."""
-    ok = df.agg(F.count("*").alias("n")).select(F.assert_true(F.col("n") == expected, F.lit(f"expected {expected} rows")).alias("_ok"))
-    return df.crossJoin(F.broadcast(ok)).drop("_ok")  # one row
+    n = df.agg(F.count("*").alias("_n"))
+    held = F.when(F.col("_n") == expected, True).otherwise(F.raise_error(f"expected {expected} rows").cast("boolean"))
+    return df.crossJoin(F.broadcast(n)).where(held).drop("_n")  # one row
 
 
 def corpus_digest(files: DataFrame, path: str = "path", digest: str = "source_sha256") -> str:
