@@ -27,9 +27,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shingle_hashes
+from .common import mix, shingle_hashes
 
 BINS, BITS = 512, 4
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 @functools.cache
@@ -47,21 +48,22 @@ def sketch(text: str | None, bins: int = BINS, bits: int = BITS) -> np.ndarray:
     shift = np.uint64(64 - bins.bit_length() + 1)
     at = (h >> shift).astype(np.int64)  # sorted, as h is
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    value, there = np.zeros(bins, np.uint8), np.zeros(bins, bool)
-    value[at[first]] = (h[first] & np.uint64((1 << bits) - 1)).astype(np.uint8)
-    there[at[first]] = True
+    least, there = np.zeros(bins, np.uint64), np.zeros(bins, bool)
+    least[at[first]], there[at[first]] = h[first], True
     empty = np.flatnonzero(~there)
     if len(empty):
-        order, out, width = _orders(bins), value.copy(), 0
+        order, out, width = _orders(bins), least.copy(), 0
         while len(empty):
             ask = order[empty, width : 2 * width + 8]
             hit = there[ask]
             k = hit.argmax(1)
             found = hit[np.arange(len(empty)), k]
-            out[empty[found]] = value[ask[found, k[found]]]
+            # hashed anew with the bin's number: bins that borrow the same value must not all agree by one chance
+            to = empty[found]
+            out[to] = mix(least[ask[found, k[found]]] + to.astype(np.uint64) * _STEP)
             empty, width = empty[~found], 2 * width + 8
-        value = out
-    return value
+        least = out
+    return (least & np.uint64((1 << bits) - 1)).astype(np.uint8)
 
 
 def pack(values: np.ndarray, bits: int = BITS) -> str:

@@ -48,6 +48,8 @@ def features(text: str) -> np.ndarray:
 
 def codewords(n: int) -> np.ndarray:
     """n rows of +1 and -1: all two-way splits for up to six languages, else the best spread of seeded random codes."""
+    if n < 2:
+        return np.ones((n, 0), np.int8)
     if n <= 6:
         return np.array([[1 if i == 0 or not split >> (i - 1) & 1 else -1 for split in range(1, 1 << (n - 1))] for i in range(n)], np.int8).reshape(n, -1)
     bits, best, least = int(np.ceil(10 * np.log2(n))), None, -1

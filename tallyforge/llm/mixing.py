@@ -73,6 +73,6 @@ def mixed(docs: DataFrame, max_epochs: int = 3, weights: tuple[float, ...] = (1,
     """
     plan = mix_plan(docs, max_epochs, weights, seed).where(F.col("doc_id").isNotNull())
     times = (F.col("repeats") + (F.col("rest") * 2 >= F.col("size")).cast("long")).cast("int")
-    plan = plan.where("size > 0").groupBy("doc_id").agg(F.max(times).alias("times")).where("times > 0")
-    repeated = docs.join(plan.withColumnRenamed("doc_id", "p_id"), F.col("doc_id") == F.col("p_id"))
-    return repeated.withColumn("round", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    plan = plan.where("size > 0").groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max(times).alias("_mix_times")).where("_mix_times > 0")
+    repeated = docs.join(plan, docs["doc_id"] == plan["_mix_id"])
+    return repeated.withColumn("_mix_round", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*docs.columns)

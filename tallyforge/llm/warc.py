@@ -100,6 +100,8 @@ def _parse(data: bytes, at: int) -> tuple[dict, int]:
         raise ValueError("no HTTP headers")
     kind, digest = h.get("warc-type"), h.get("warc-payload-digest", "").removeprefix("sha256:")
     length = len(payload)
+    if kind not in ("response", "revisit"):
+        raise ValueError("no known record type")
     if kind == "revisit":
         length = int(_headers(head).get("content-length", "0"))
     elif hashlib.sha256(payload).hexdigest() != digest:
