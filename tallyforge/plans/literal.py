@@ -1,5 +1,6 @@
 """Queries of operators whose inputs (clauses, states, programs) the test tables lack: on rows given here, with hand-computed results as SQL; and greedy selections on the tables."""
 
+from __future__ import annotations
 
 from collections.abc import Iterator
 
@@ -73,7 +74,7 @@ def clause_bounds(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("clause", tx.normalize_clause(F.col("clause")).alias("normal"), b["side"].alias("side"), b["value"].alias("value"))
 
 
-@query("SELECT * FROM (VALUES ('halve', 'medium', 1::BIGINT), ('parity', 'medium', 1), ('sum', 'easy', 2), ('sum_renamed', 'easy', 2)) t(name, level, same_alpha)")
+@query("SELECT * FROM (VALUES ('halve', 'challenging', 1::BIGINT), ('parity', 'challenging', 1), ('sum', 'easy', 2), ('sum_renamed', 'easy', 2)) t(name, level, same_alpha)")
 def program_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     """Level, and how many programs are the same up to names."""
 
