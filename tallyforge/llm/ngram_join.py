@@ -13,11 +13,13 @@ size (powers of two of the larger set's), which keeps the pairs linear in the si
    counter, 128 KB whatever the corpus, goes to all tasks; it steers the order only and never decides a link.
 2. A second reading gives the signatures. Equal sets collapse, within each task and then by digest, to the document
    with the smallest id. Signatures that one set alone has are dropped; those with the same sets count once.
-3. In each signature's group, every set is verified against the group's first (a star, linear in the group), and
-   links are closed to components. Then only pairs of a group that lie in different components remain; all of them
-   are verified, none is skipped. So no link is lost, and near copies by the thousands do not make all their pairs.
-4. To verify, a third reading computes the sets of the documents in question, sent to their star's centre; large
-   stars are dealt over several tasks, each with the centre's set.
+3. In each signature's group, every set is held against the group's first (a star, linear in the group), and links
+   are closed to components. Then only pairs of a group that lie in different components remain; all of them are
+   held against each other, none is skipped. So no link is lost, and near copies by the thousands do not make all
+   their pairs.
+4. To hold two sets against each other, first their histograms are compared (tokens in each of 512 classes): what
+   they have in common bounds the common tokens from above, and most pairs end there, inside their group's task.
+   The whole sets of the rest, read anew, meet at their star's centre. Large stars are dealt over several tasks.
 
 Cases: null text, and text without words, is an empty set, linked with nothing. Fewer words than a shingle make one
 token of the whole. Equal or null doc_ids are told apart (see common.keyed); the component's id is then that of its
@@ -35,13 +37,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, components, keyed, mix, shingle_hashes, stage
+from .common import SHINGLE_WORDS, components, keyed, mix, shingle_hashes, stage, tidy
 
 COUNTER_BITS = 20
 CHUNK = 1 << 16
 FEWEST = 32
 STAR = 2048
 BLOOM_BITS = 23
+BUCKETS = 512
 _A, _B, _C, _D = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
 
@@ -113,7 +116,7 @@ def signatures(h: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
             same = k[lag:] == k[:-lag]
             if not same.any():
                 break
-            out.append(mix(t[:-lag][same] * _A + t[lag:][same] * _B + np.uint64(band) * _C))
+            out.append(mix(t[:-lag][same] * _A + t[lag:][same] * _B + np.uint64(band * int(_C) & 0xFFFFFFFFFFFFFFFF)))
     return np.concatenate(out)
 
 
@@ -157,50 +160,126 @@ def _bloom(keys: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _sets(words: int, bloom):
+def _sets(words: int, bloom, short: bool):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bloom.value
         for batch in it:
             bit = batch.column("bit").to_numpy()
             keep = np.flatnonzero(bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1)
             texts, keys = batch.column("text").take(pa.array(keep)).to_pylist(), batch.column("key").take(pa.array(keep))
-            yield pa.RecordBatch.from_arrays([keys, pa.array([shingle_hashes(t, words).tobytes() for t in texts], pa.binary())], names=["key", "tokens"])
+            sets = [shingle_hashes(t, words) for t in texts]
+            data = [histogram(h) if short else h.tobytes() for h in sets]
+            yield pa.RecordBatch.from_arrays([keys, pa.array([len(h) for h in sets], pa.int64()), pa.array(data, pa.binary())], names=["key", "n", "tokens"])
 
     return run
 
 
-def _verify(percent: int):
+def histogram(h: np.ndarray) -> bytes:
+    """Tokens in each of BUCKETS classes, a byte each; empty if one overflows."""
+    n = np.bincount((h >> np.uint64(8) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+    return n.astype(np.uint8).tobytes() if n.max(initial=0) < 256 else b""
+
+
+def _candidates(percent: int, star: bool):
+    """Pairs of a group that can reach the similarity, as their histograms have enough in common.
+
+    star: each with the first, which is the smallest id. Else: those of different components; the group is sorted by
+    size, and only sets near enough in size are looked at.
+    """
+
+    def pairs(key: np.ndarray, n: np.ndarray, comp: np.ndarray, hist: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        whole = np.array([len(x) == BUCKETS for x in hist])
+        table = np.frombuffer(b"".join(x or bytes(BUCKETS) for x in hist), np.uint8).reshape(-1, BUCKETS)
+        a, b = [], []
+        for i in [0] if star else range(1, len(key)):
+            if star:
+                j = np.arange(1, len(key))
+                j = j[100 * np.minimum(n[0], n[j]) >= percent * np.maximum(n[0], n[j])]
+            else:
+                j = np.arange(np.searchsorted(n, (percent * n[i] + 99) // 100), i)
+                j = j[comp[j] != comp[i]]
+            if not len(j):
+                continue
+            common = np.concatenate([np.minimum(table[i], table[j[k : k + 8192]]).sum(1, dtype=np.int64) for k in range(0, len(j), 8192)])
+            j = j[~whole[i] | ~whole[j] | (100 * common >= percent * (n[i] + n[j] - common))]
+            a.append(np.minimum(key[i], key[j])), b.append(np.maximum(key[i], key[j]))
+        none = np.empty(0, np.int64)
+        return np.concatenate([none, *a]), np.concatenate([none, *b])
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, tokens = None, None
+        held: list[tuple] = []
+        here, a_out, b_out, size = None, [], [], 0
+
+        def close() -> None:
+            nonlocal held, size
+            if len(held) > 1:
+                key, n, comp, hist = zip(*held, strict=True)
+                a, b = pairs(np.array(key, np.int64), np.array(n, np.int64), np.array(comp, np.int64), list(hist))
+                a_out.append(a), b_out.append(b)
+                size += len(a)
+            held = []
+
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *x])) for x in (a_out, b_out)], names=["a", "b"])
+        for batch in it:
+            for sig, *row in zip(*(batch.column(c).to_pylist() for c in ("sig", "rep", "n", "comp", "tokens")), strict=True):
+                if sig != here:
+                    close()
+                    here = sig
+                    if size > 100_000:
+                        yield out()
+                        a_out, b_out, size = [], [], 0
+                held.append(tuple(row))
+        close()
+        yield out()
+
+    return run
+
+
+def _judge(percent: int):
+    """Pairs of a centre, which comes first, and those after it that reach the similarity."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        star, centre = None, None
         for batch in it:
             a_out, b_out = [], []
             for a, salt, key, data in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "key", "tokens")), strict=True):
                 t = np.frombuffer(data, np.uint64)
-                if (a, salt) != centre:  # the centre comes first
-                    centre, tokens = (a, salt), t
+                if (a, salt) != star:
+                    star, centre = (a, salt), t
                     continue
-                both = np.concatenate((tokens, t))
-                both.sort(kind="stable")
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                if 100 * common >= percent * (len(both) - common):
+                at = np.searchsorted(centre, t)
+                at[at == len(centre)] = 0
+                common = int(np.count_nonzero(centre[at] == t))
+                if 100 * common >= percent * (len(centre) + len(t) - common):
                     a_out.append(a), b_out.append(key)
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
     return run
 
 
+def _read_sets(docs: DataFrame, keys: DataFrame, words: int, short: bool) -> DataFrame:
+    """key, n, tokens of the documents in keys (and of a few more); the texts are not shuffled."""
+    bloom = docs.sparkSession.sparkContext.broadcast(_bloom(keys))
+    bit = F.pmod(F.xxhash64("key"), F.lit(1 << BLOOM_BITS)).alias("bit")
+    return docs.select("key", "text", bit).mapInArrow(_sets(words, bloom, short), "key long, n long, tokens binary")
+
+
+def _wanted(pairs: DataFrame) -> DataFrame:
+    """key, a, salt, member: where each document's set goes; large stars have several parts, each with the centre."""
+    salts = pairs.groupBy("a").agg((F.floor(F.count("*") / STAR) + 1).cast("int").alias("salts"))
+    members = pairs.join(salts, "a").select(F.col("b").alias("key"), "a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("member"))
+    centres = salts.select(F.col("a").alias("key"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"))
+    return members.union(centres)
+
+
 def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose documents (key, text) link. Each a is the centre of a star."""
+    """Those of pairs (a, b) that link; each a is the centre of a star."""
     pairs = stage(pairs, "pairs")
-    salts = pairs.groupBy("a").agg((F.floor(F.count("*") / STAR) + 1).cast("int").alias("salts"))
-    members = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("key"), F.lit(1).alias("member"))
-    centres = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("key"), F.lit(0).alias("member"))
-    wanted = members.union(centres)
-    bloom = docs.sparkSession.sparkContext.broadcast(_bloom(wanted.select("key")))
-    bit = F.pmod(F.xxhash64("key"), F.lit(1 << BLOOM_BITS)).alias("bit")
-    sets = docs.select("key", "text", bit).mapInArrow(_sets(words, bloom), "key long, tokens binary")
-    stars = sets.join(wanted, "key").repartition("a", "salt").sortWithinPartitions("a", "salt", "member", "key")
-    return stars.select("a", "salt", "key", "tokens").mapInArrow(_verify(percent), "a long, b long")
+    sets = _read_sets(docs, pairs.select(F.col("a").alias("key")).union(pairs.select("b")), words, False)
+    stars = sets.join(_wanted(pairs), "key").repartition("a", "salt").sortWithinPartitions("a", "salt", "member", "key")
+    out = stage(stars.select("a", "salt", "key", "tokens").mapInArrow(_judge(percent), "a long, b long"), "links")
+    tidy(docs.sparkSession)
+    return out
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -220,24 +299,25 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = SHINGLE_WOR
     signed = signed.withColumn("c", F.expr("count(*) OVER (PARTITION BY sig)")).where("c > 1").select("sig", "key")
     signed = signed.join(copies, "key", "left").select("sig", F.coalesce("rep", "key").alias("rep")).distinct()
     signed = stage(signed, "signed")
+    tidy(docs.sparkSession)
     group = signed.groupBy("sig").agg(F.count("*").alias("c"), F.sum(F.expr("cast(xxhash64(rep) as decimal(20,0))")).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x"), F.min("rep").alias("a"))
     group = group.where("c > 1").groupBy("c", "s", "x", "a").agg(F.min("sig").alias("sig"))
-    n = sizes.select(F.col("key").alias("rep"), "n")
-    groups = stage(signed.join(group.select("sig", "a"), "sig").join(n, "rep"), "groups")
-
-    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    centre = n.select(F.col("rep").alias("a"), F.col("n").alias("an"))
-    star = groups.where("rep <> a").select("a", F.col("rep").alias("b"), "n").distinct().join(centre, "a").where(fits(F.col("n"), F.col("an"))).select("a", "b")
-    links = stage(verified(texts, star, words, percent), "links")
+    groups = stage(signed.join(group.select("sig"), "sig"), "groups")
+    tidy(docs.sparkSession)
+
+    hist = stage(_read_sets(texts, groups.select(F.col("rep").alias("key")), words, True).withColumnRenamed("key", "rep"), "histograms")
+    star = groups.withColumn("comp", F.lit(0).cast("long")).join(hist, "rep").repartition("sig").sortWithinPartitions("sig", "rep")
+    star = stage(star.select("sig", "rep", "n", "comp", "tokens").mapInArrow(_candidates(percent, True), "a long, b long").distinct(), "star")
+    tidy(docs.sparkSession)
+    links = verified(texts, star, words, percent)
     comp = components(links)
 
     # what the stars leave open
-    g = groups.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
-    open_ = stage(g.withColumn("kinds", F.expr("min(comp) OVER (PARTITION BY sig) <> max(comp) OVER (PARTITION BY sig)")).where("kinds").drop("kinds"), "open")
-    other = open_.select("sig", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bcomp"))
-    rest = open_.join(other, "sig").where((F.col("comp") < F.col("bcomp")) & fits(F.col("n"), F.col("bn"))).select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
-    rest = rest.join(star, ["a", "b"], "left_anti")
-    more = stage(verified(texts, rest, words, percent), "links")
+    g = groups.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", F.coalesce("comp", "rep").alias("comp"))
+    several = g.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
+    rest = g.join(several, "sig").join(hist, "rep").repartition("sig").sortWithinPartitions("sig", "n", "rep")
+    rest = rest.select("sig", "rep", "n", "comp", "tokens").mapInArrow(_candidates(percent, False), "a long, b long").distinct()
+    more = verified(texts, rest.join(star, ["a", "b"], "left_anti"), words, percent)
     if more.limit(1).count():
         comp = components(links.union(more))
 
@@ -252,5 +332,5 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = SHINGLE_WOR
 
 def keep_first(docs: DataFrame, percent: int = 80, words: int = SHINGLE_WORDS) -> DataFrame:
     """docs without the near duplicates: of each component the document with the smallest doc_id stays. doc_ids are unique."""
-    found = near_duplicates(docs, percent, words).where("doc_id <> component_id").select(F.col("doc_id").alias("gone"))
-    return docs.join(found, F.col("doc_id") == F.col("gone"), "left_anti")
+    found = near_duplicates(docs, percent, words).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+    return docs.join(found, docs["doc_id"] == found["_gone"], "left_anti")
