@@ -121,7 +121,7 @@ def _nearest(k: int):
             self.ids.append(uid), self.x.append(x)
 
         def candidates(self, uids: np.ndarray, y: np.ndarray) -> None:
-            if not self.ids:
+            if len(self.ids) == 0:
                 return
             if not self.sealed:
                 self.ids, self.x, self.sealed = np.array(self.ids), np.array(self.x), True
@@ -190,6 +190,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, curves: int = CURVE
     least = rows.select("vec", "vec_id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
     points = stage(least.groupBy("vec").agg(F.min("vec_id").alias("uid"), F.collect_set("vec_id").alias("ids")).select("uid", "ids", "vec"), "points")
     n = points.count()
+    slices = max(1, min(slices, n // (4 * k + 4)))  # few points: larger slices
     asked = stage(rows.where("asks").select("vec_id", "vec").distinct().join(points.select("uid", "vec"), "vec").select(F.col("vec_id").alias("query_id"), F.col("uid").alias("query")), "asked")
 
     sample = points.select("vec", "uid").orderBy(F.xxhash64("uid"), "uid").limit(SAMPLE).toArrow()
