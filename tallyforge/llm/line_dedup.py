@@ -16,7 +16,7 @@ null doc_ids are told apart by text (common.keyed). Repeated rows are repeats of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keyed, stage
@@ -26,51 +26,57 @@ RUN = 3
 
 def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
     """docs: key, text. Maximal runs (key, first, last: line numbers from 0, lines: non-blank ones) to delete."""
-    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("i"), F.xxhash64(x).alias("h"), (F.length(F.trim(x)) > 0).alias("full")))
-    d = docs.select("key", F.filter(lines, lambda x: x["full"]).alias("l")).where(F.size("l") > 0)
-    d = d.select("key", F.col("l.i").alias("i"), F.col("l.h").alias("h"), F.size("l").alias("n"))
-    width = F.least("n", F.lit(run))
-
-    def window(j):  # j: the first line, from 1
-        part = F.slice("h", j, width)
-        return F.struct(j.alias("j"), F.array_min(part).alias("print"), F.xxhash64(part, width).alias("w"), F.element_at("i", j).alias("first"), F.element_at("i", (j + width - 1).cast("int")).alias("last"))
-
-    d = d.select("key", F.transform(F.sequence(F.lit(1), F.col("n") - width + 1), window).alias("w"), "h", width.alias("width"))
-    place = F.transform("w", lambda w: F.struct(w["print"].alias("print"), (w["j"] + F.array_position(F.slice("h", w["j"], F.col("width")), w["print"])).alias("at")))
-    prints = d.select(F.explode(F.array_distinct(place)).alias("p")).groupBy("p.print").agg(F.count("*").alias("c")).where("c > 1").select("print")
-    windows = d.select("key", F.inline("w")).join(prints, "print", "left_semi")
-    windows = stage(windows.select("print", "w", "key", "j", "first", "last"), "windows")
-    earliest = windows.groupBy("print", "w").agg(F.min(F.struct("key", "j")).alias("e"), F.count("*").alias("c")).where("c > 1").drop("c")
-    again = windows.join(earliest, ["print", "w"]).where("struct(key, j) <> e").select("key", "j", "first", "last")
-    # windows in a row are one run
-    order = Window.partitionBy("key").orderBy("first")
-    reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    again = again.withColumn("new", (F.coalesce(reach, F.lit(-2)) < F.col("first") - 1).cast("int"))
+    lines = docs.select("key", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).where(F.length(F.trim("line")) > 0)
+    lines = lines.select("key", "i", F.xxhash64("line").alias("h"))
+    order = Window.partitionBy("key").orderBy("i")
+    ahead = lambda c, k: F.lead(c, k).over(order)
+    lines = lines.withColumns({"j": F.row_number().over(order), **{f"h{k}": ahead("h", k) for k in range(run)}, **{f"i{k}": ahead("i", k) for k in range(run)}})
+    # whole windows, and the only one of a shorter document
+    lines = lines.where(F.col(f"h{run - 1}").isNotNull() | (F.col("j") == 1))
+    hashes = [F.col(f"h{k}") for k in range(run)]
+    width = sum((h.isNotNull().cast("int") for h in hashes[1:]), F.lit(1))
+    least = F.least(*hashes) if run > 1 else hashes[0]
+    place = F.coalesce(*[F.when(h == least, F.col("j") + k) for k, h in enumerate(hashes)])
+    windows = lines.select(
+        "key", "j", F.col("i0").alias("first"), F.coalesce(*[F.col(f"i{k}") for k in reversed(range(run))]).alias("last"), (F.col("j") + width - 1).alias("j_last"),
+        least.alias("print"), F.xxhash64(*hashes, width).alias("w"), place.alias("at"),
+    )
+    # a fingerprint that several windows choose counts once
+    before = F.lag("at").over(Window.partitionBy("key").orderBy("j"))
+    windows = windows.withColumn("chosen", ~F.col("at").eqNullSafe(before))
+    windows = stage(windows, "windows")
+    prints = windows.where("chosen").groupBy("print").agg(F.count("*").alias("c")).where("c > 1").select("print")
+    shared = windows.join(prints, "print", "left_semi")
+    earliest = shared.groupBy("print", "w").agg(F.min(F.struct("key", "j")).alias("e"), F.count("*").alias("c")).where("c > 1").drop("c")
+    again = shared.join(earliest, ["print", "w"]).where("struct(key, j) <> e").select("key", "j", "j_last", "first", "last")
+    # windows that touch or overlap are one run
+    order = Window.partitionBy("key").orderBy("j")
+    reach = F.max("j_last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    again = again.withColumn("new", (F.coalesce(reach, F.lit(-2)) < F.col("j") - 1).cast("int"))
     again = again.withColumn("number", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return again.groupBy("key", "number").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    runs = again.groupBy("key", "number").agg(F.min("first").alias("first"), F.max("last").alias("last"), (F.max("j_last") - F.min("j") + 1).alias("lines"))
+    return runs.drop("number")
 
 
 def dedup(docs: DataFrame, run: int = RUN) -> DataFrame:
     """docs with its repeated runs cut from text, and n_lines, n_removed (non-blank lines) and n_runs."""
-    columns = [c for c in docs.columns if c != "text"]
     d, _ = keyed(docs)
-    d = d.withColumnRenamed("_key", "key")
+    # the columns of docs travel as one, so that none clashes with those used here
+    d = d.select(F.col("_key").alias("key"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"))
     runs = repeated_runs(d.select("key", "text"), run)
-    runs = runs.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs")).withColumnRenamed("key", "r_key")
+    runs = runs.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"), F.sum("lines").alias("lines")).withColumnRenamed("key", "r_key")
     d = d.join(runs, F.col("key") == F.col("r_key"), "left")
-    none = F.array().cast("array<struct<first:int,last:int>>")
-    d = d.withColumn("runs", F.coalesce("runs", none)).withColumn("_lines", F.split("text", "\n", -1))
-    # what lies before the k-th run, and after the last one
-    start = lambda k: F.when(k == 0, 0).otherwise(F.get("runs", k - 1)["last"] + 1)
-    stop = lambda k: F.coalesce(F.get("runs", k)["first"], F.size("_lines"))
-    pieces = F.transform(F.sequence(F.lit(0), F.size("runs")), lambda k: F.slice("_lines", start(k) + 1, stop(k) - start(k)))
-    full = lambda a: F.size(F.filter(a, lambda x: F.length(F.trim(x)) > 0))
-    d = d.withColumn("_kept", F.flatten(pieces))
-    out = d.select(
-        *columns,
-        F.when(F.size("runs") == 0, F.col("text")).otherwise(F.array_join("_kept", "\n")).alias("text"),
-        F.coalesce(full("_lines"), F.lit(0)).cast("long").alias("n_lines"),
-        F.when(F.size("runs") == 0, 0).otherwise(full("_lines") - full("_kept")).cast("long").alias("n_removed"),
-        F.size("runs").cast("long").alias("n_runs"),
-    )
-    return out.select(*docs.columns, "n_lines", "n_removed", "n_runs")
+
+    def kept(lines: Column) -> Column:  # what lies before the k-th run, and after the last one
+        start = lambda k: F.when(k == 0, 0).otherwise(F.get("runs", k - 1)["last"] + 1)
+        stop = lambda k: F.coalesce(F.get("runs", k)["first"], F.size(lines))
+        pieces = F.transform(F.sequence(F.lit(0), F.size("runs")), lambda k: F.slice(lines, start(k) + 1, stop(k) - start(k)))
+        return F.array_join(F.flatten(pieces), "\n")
+
+    lines = F.split("text", "\n", -1)
+    n_lines = F.size(F.filter(lines, lambda x: F.length(F.trim(x)) > 0))
+    cut = F.get(F.transform(F.array(lines), kept), F.lit(0))  # the lines are one variable of the function: split once
+    text = F.when(F.col("runs").isNull(), F.col("text")).otherwise(cut)
+    columns = [text.alias("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns]
+    counts = {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(n_lines), "n_removed": F.coalesce("lines", F.lit(0)), "n_runs": F.when(F.col("runs").isNull(), 0).otherwise(F.size("runs"))}
+    return d.select(*columns, *[v.cast("long").alias(k) for k, v in counts.items()])
