@@ -19,6 +19,8 @@ depends on other rows, so repeated rows, ties and empty tables need no rule. Ext
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,11 @@ DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKL
 FIRST_DAY, DAYS = "1900-01-01", (189, 773)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once: a lambda's variable is not replaced by what it stands for."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def _keyed(key: str, *parts: Column) -> Column:
     """A number from 0 to 2^40 - 1 from the key and the parts."""
     return F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(key), *[p.cast("string") for p in parts]), 256), 1, 10), 16, 10).cast("long")
@@ -61,45 +68,57 @@ def feistel_string(s: Column, key: str, kind: str, hexadecimal: Column | None =
 
     def shifted(part: Column, other: Column, i: Column) -> Column:
         def letter(k: Column) -> Column:
-            c = F.substring(part, k, F.lit(1))
+            return let(F.substring(part, k, F.lit(1)), lambda c: let(alphabet_of(c), lambda alphabet: moved(c, alphabet, k)))
+
+        def alphabet_of(c: Column) -> Column:
             lower, upper = F.when(hexadecimal, F.lit(LOWER[:6])).otherwise(LOWER), F.when(hexadecimal, F.lit(UPPER[:6])).otherwise(UPPER)
-            alphabet = F.when(c.between("0", "9"), F.lit(DIGITS)).when(c.between("a", "z"), lower).when(c.between("A", "Z"), upper).otherwise(c)
+            return F.when(c.between("0", "9"), F.lit(DIGITS)).when(c.between("a", "z"), lower).when(c.between("A", "Z"), upper).otherwise(c)
+
+        def moved(c: Column, alphabet: Column, k: Column) -> Column:
             place = F.instr(alphabet, c)
             return F.substring(alphabet, ((place - 1 + _keyed(key, F.lit(kind), i, k, other)) % F.length(alphabet) + 1).cast("int"), F.lit(1))
 
         return F.when(F.length(part) == 0, part).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(part), F.lit(1))), letter), ""))
 
-    half = F.floor(F.length(s) / 2).cast("int")
-    start = F.struct(F.substring(s, F.lit(1), half).alias("l"), F.substring(s, half + 1, F.length(s)).alias("r"))
-
     def step(x: Column, i: Column) -> Column:
         return F.struct(F.when(i % 2 == 0, shifted(x["l"], x["r"], i)).otherwise(x["l"]).alias("l"), F.when(i % 2 == 1, shifted(x["r"], x["l"], i)).otherwise(x["r"]).alias("r"))
 
-    out = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda x: F.concat(x["l"], x["r"]))
-    return out
+    def network(s: Column) -> Column:
+        half = F.floor(F.length(s) / 2).cast("int")
+        start = F.struct(F.substring(s, F.lit(1), half).alias("l"), F.substring(s, half + 1, F.length(s)).alias("r"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda x: F.concat(x["l"], x["r"]))
+
+    return let(s, network)
 
 
 def _digit_sum(digits: Column, doubled: int) -> Column:
     """Luhn's sum; the places that are doubled count `doubled` (0 or 1) from the right, modulo 2."""
-    n = F.length(digits)
 
-    def value(k: Column) -> Column:
-        d = F.substring(digits, k, F.lit(1)).cast("int")
-        return F.when((n - k) % 2 == doubled, F.when(d > 4, 2 * d - 9).otherwise(2 * d)).otherwise(d)
+    def total(digits: Column) -> Column:
+        n = F.length(digits)
+
+        def value(k: Column) -> Column:
+            d = F.substring(digits, k, F.lit(1)).cast("int")
+            return F.when((n - k) % 2 == doubled, F.when(d > 4, 2 * d - 9).otherwise(2 * d)).otherwise(d)
+
+        return F.aggregate(F.transform(F.sequence(F.lit(1), n), value), F.lit(0), lambda a, b: a + b)
 
-    return F.aggregate(F.transform(F.sequence(F.lit(1), n), value), F.lit(0), lambda a, b: a + b)
+    return let(digits, total)
 
 
 def _refill(form: Column, digits: Column) -> Column:
     """form with its digits replaced, in order, by digits."""
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("next"))
 
-    def step(x: Column, k: Column) -> Column:
-        c = F.substring(form, k, F.lit(1))
-        number = c.between("0", "9")
-        return F.struct(F.concat(x["out"], F.when(number, F.substring(digits, x["next"], F.lit(1))).otherwise(c)).alias("out"), F.when(number, x["next"] + 1).otherwise(x["next"]).alias("next"))
+    def filled(digits: Column) -> Column:
+        def step(x: Column, k: Column) -> Column:
+            c = F.substring(form, k, F.lit(1))
+            number = c.between("0", "9")
+            return F.struct(F.concat(x["out"], F.when(number, F.substring(digits, x["next"], F.lit(1))).otherwise(c)).alias("out"), F.when(number, x["next"] + 1).otherwise(x["next"]).alias("next"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(form)), start, step, lambda x: x["out"])
+        return F.aggregate(F.sequence(F.lit(1), F.length(form)), start, step, lambda x: x["out"])
+
+    return let(digits, filled)
 
 
 def _only_digits(m: Column) -> Column:
@@ -107,22 +126,20 @@ def _only_digits(m: Column) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
-    digits = _only_digits(m)
-    body = feistel_string(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
-    check = (10 - _digit_sum(body, 0) % 10) % 10
-    return _refill(m, F.concat(body, check.cast("string")))
+    body = let(_only_digits(m), lambda d: feistel_string(F.substring(d, F.lit(1), F.length(d) - 1), key, "card"))
+    return _refill(m, let(body, lambda b: F.concat(b, ((10 - _digit_sum(b, 0) % 10) % 10).cast("string"))))
 
 
 def _ip(m: Column, key: str) -> Column:
-    o = F.transform(F.split(m, "\\."), lambda x: x.cast("long"))
-    p = feistel_number(F.get(o, 0) * 256 + F.get(o, 1), F.get(o, 2) * 256 + F.get(o, 3), (65536, 65536), key, "ip")
+    octets = F.transform(F.split(m, "\\."), lambda x: x.cast("long"))
+    p = let(octets, lambda o: feistel_number(F.get(o, 0) * 256 + F.get(o, 1), F.get(o, 2) * 256 + F.get(o, 3), (65536, 65536), key, "ip"))
     part = lambda x: F.concat_ws(".", F.floor(x / 256).cast("string"), (x % 256).cast("string"))
-    return F.transform(F.array(p), lambda x: F.concat_ws(".", part(x["l"]), part(x["r"])))[0]
+    return let(p, lambda x: F.concat_ws(".", part(x["l"]), part(x["r"])))
 
 
 def _phone(m: Column, key: str) -> Column:
-    local = F.regexp_extract(m, "\\(?[0-9]{3}\\)?[ -][0-9]{3}-[0-9]{4}$", 0)
-    return F.concat(F.substring(m, F.lit(1), F.length(m) - F.length(local)), _refill(local, feistel_string(_only_digits(local), key, "phone")))
+    number = F.regexp_extract(m, "\\(?[0-9]{3}\\)?[ -][0-9]{3}-[0-9]{4}$", 0)
+    return let(number, lambda local: F.concat(F.substring(m, F.lit(1), F.length(m) - F.length(local)), _refill(local, feistel_string(_only_digits(local), key, "phone"))))
 
 
 def _day(m: Column) -> Column:
@@ -134,21 +151,26 @@ def _day(m: Column) -> Column:
 
 def _date(m: Column, key: str) -> Column:
     n = F.date_diff(_day(m), F.lit(FIRST_DAY).cast("date"))
-    p = feistel_number(F.floor(n / DAYS[1]), n % DAYS[1], DAYS, key, "date")
-    day = F.transform(F.array(p), lambda x: F.date_add(F.lit(FIRST_DAY).cast("date"), (x["l"] * DAYS[1] + x["r"]).cast("int")))[0]
+    p = let(n, lambda n: feistel_number(F.floor(n / DAYS[1]), n % DAYS[1], DAYS, key, "date"))
+    new = let(p, lambda x: F.date_add(F.lit(FIRST_DAY).cast("date"), (x["l"] * DAYS[1] + x["r"]).cast("int")))
     american = F.try_to_timestamp(m, F.lit("MM/dd/yyyy")).isNotNull()
-    return F.when(m.contains("-"), F.date_format(day, "yyyy-MM-dd")).when(m.contains("."), F.date_format(day, "dd.MM.yyyy")).when(american, F.date_format(day, "MM/dd/yyyy")).otherwise(F.date_format(day, "dd/MM/yyyy"))
+    form = F.when(m.contains("-"), "yyyy-MM-dd").when(m.contains("."), "dd.MM.yyyy").when(american, "MM/dd/yyyy").otherwise("dd/MM/yyyy")
+    shown = lambda day: {f: F.date_format(day, f) for f in ("yyyy-MM-dd", "dd.MM.yyyy", "MM/dd/yyyy", "dd/MM/yyyy")}
+    return let(F.struct(new.alias("day"), form.alias("form")), lambda x: _choose(x["form"], shown(x["day"])))
+
+
+def _choose(c: Column, out: dict[str, Column]) -> Column:
+    return F.coalesce(*[F.when(c == k, v) for k, v in out.items()])
 
 
 def _email(m: Column, key: str) -> Column:
-    local = F.substring_index(m, "@", 1)
-    return F.concat(feistel_string(local, key, "email"), F.substring(m, F.length(local) + 1, F.length(m)))
+    return let(F.substring_index(m, "@", 1), lambda local: F.concat(feistel_string(local, key, "email"), F.substring(m, F.length(local) + 1, F.length(m))))
 
 
 def _secret(m: Column, key: str) -> Column:
-    value = F.regexp_extract(m, "[A-Za-z0-9+/_-]{16,}$", 0)
-    hexadecimal = value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
-    return F.concat(F.substring(m, F.lit(1), F.length(m) - F.length(value)), feistel_string(value, key, "secret", hexadecimal))
+    hexadecimal = m.rlike("(?:^|[^0-9A-Za-z+/_-])(?:[0-9a-f]{16,}|[0-9A-F]{16,})$")
+    masked = lambda hexa, value: F.concat(F.substring(m, F.lit(1), F.length(m) - F.length(value)), feistel_string(value, key, "secret", hexa))
+    return let(F.regexp_extract(m, "[A-Za-z0-9+/_-]{16,}$", 0), lambda value: let(hexadecimal, lambda hexa: masked(hexa, value)))
 
 
 def kind_of(m: Column) -> Column:
