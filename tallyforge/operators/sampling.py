@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RELATION, ESCAPE, TOTAL = 48, 12, 60
+SMALL_DELTAS, TERMINAL_DELTAS = (1, 2), (1, 2, 3, 5, 8)
 
 
 def distinct_states(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -34,31 +35,42 @@ def neighbours(df: DataFrame, by: list[str], it: str, variables: list[str], guar
     return out
 
 
-def relation_candidates(df: DataFrame, variables: list[str], deltas: tuple[int, ...] = (1, 2)) -> DataFrame:
-    """Each state moved along one axis by each delta, and along two axes alike and opposed. Columns axis, distance, and the moved values."""
+def relation_candidates(df: DataFrame, variables: list[str], deltas: tuple[int, ...] = SMALL_DELTAS) -> DataFrame:
+    """Each state moved along one axis by each delta, and along two axes alike and opposed. Columns axis, distance, change_<variable>, and the moved values."""
     moves = [{v: s * d} for v in variables for d in deltas for s in (1, -1)]
     moves += [{a: s * d, b: t * s * d} for i, a in enumerate(variables) for b in variables[i + 1 :] for d in deltas for s in (1, -1) for t in (1, -1)]
     rows = F.explode(F.array(*[F.struct(F.lit("+".join(sorted(m))).alias("axis"), F.lit(sum(abs(x) for x in m.values())).alias("distance"), *[F.lit(m.get(v, 0)).alias(f"_{v}") for v in variables]) for m in moves]))
     d = df.withColumn("_m", rows)
+    d = d.withColumns({f"change_{v}": F.col(f"_m._{v}") for v in variables})
     return d.withColumns({"axis": F.col("_m.axis"), "distance": F.col("_m.distance"), **{v: F.col(v) + F.col(f"_m._{v}") for v in variables}}).drop("_m")
 
 
-def admitted(candidates: DataFrame, positives: DataFrame, context: list[str], variables: list[str]) -> DataFrame:
-    """Candidates inside their context's envelope that are no positive state."""
+def admitted(candidates: DataFrame, positives: DataFrame, context: list[str], variables: list[str], guard: str, moved_guard: Column) -> DataFrame:
+    """Candidates of dense or terminal bases (columns of neighbours and relation_candidates) that are inside their context's
+    envelope, keep the base's guard (its column guard; moved_guard at the moved values), do not lie on the base's own step, and are no positive state."""
     bounds = positives.groupBy(*context).agg(*[f(v).alias(f"_{n}_{v}") for v in variables for n, f in (("low", F.min), ("high", F.max))])
-    inside = F.lit(True)
+    inside = (F.col("dense") | F.col("terminal")) & (F.col(guard) == moved_guard)
+    inside = inside & ~tangent([F.col(f"step_{v}") for v in variables], [F.col(f"change_{v}") for v in variables])
     for v in variables:
         inside = inside & F.col(v).between(F.col(f"_low_{v}"), F.col(f"_high_{v}"))
     d = candidates.join(bounds, context).where(inside).select(*candidates.columns)
     return d.join(positives.select(*context, *variables).distinct(), [*context, *variables], "left_anti")
 
 
+def relation_negatives(states: DataFrame, by: list[str], it: str, variables: list[str], guard: Column) -> DataFrame:
+    """Negatives around the states of traces (by, it, variables, _order); guard is a condition on the variables. Terminal bases are moved further."""
+    near = neighbours(states.withColumn("guard", guard), by, it, variables, "guard")
+    near = distinct_states(near, [*by, *variables], [it])
+    moved = relation_candidates(near.where("NOT terminal"), variables).unionByName(relation_candidates(near.where("terminal"), variables, TERMINAL_DELTAS))
+    return admitted(moved, states, by, variables, "guard", guard)
+
+
 def tangent(steps: list, changes: list):
     """Is a change an integer multiple of the step, the same for all variables? Columns in, Column out."""
     ok, rate = F.lit(True), None
     for s, c in zip(steps, changes, strict=True):
         k = F.when(F.coalesce(s, F.lit(0)) != 0, F.try_divide(c, s))
-        ok = ok & F.when(F.coalesce(s, F.lit(0)) == 0, c == 0).otherwise((k == F.floor(k)) & (F.lit(True) if rate is None else F.coalesce(k == rate, rate.isNull())))
+        ok = ok & F.when(F.coalesce(s, F.lit(0)) == 0, c == 0).otherwise((c % s == 0) & (F.lit(True) if rate is None else F.coalesce(k == rate, rate.isNull())))
         rate = k if rate is None else F.coalesce(rate, k)
     return ok
 

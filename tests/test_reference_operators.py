@@ -10,7 +10,8 @@ from tallyforge.functions import text as tx
 from tallyforge.functions.interpret import trace
 from tallyforge.functions.predicate import Scope, check, dedup_key, dedup_normalized, evaluate, first_falsifying, to_column
 from tallyforge.functions.program import annotation_clauses, fingerprint, parse_program, strip_target, while_form, without
-from tallyforge.operators import curation, filters, greedy, ledger, reward, stats, tracing, windows
+from tallyforge import plans
+from tallyforge.operators import curation, filters, greedy, ledger, reward, sampling, stats, tracing, windows
 from tallyforge.plans.scoring import clauses_of, score
 from tallyforge.sources import readers, writers
 from tallyforge.sources.schemas import STATE
@@ -236,3 +237,47 @@ def test_streaming(spark, tmp_path):
     q = score_stream(follow_jsonl(spark, f"{tmp_path}/in", "k int"), lambda b: b.withColumn("r", F.col("k") * 2), f"{tmp_path}/out", f"{tmp_path}/cp", once=True)
     q.awaitTermination(60)
     assert sorted(r.r for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [2, 4]
+
+
+def relation_wanted(runs, low=4):
+    """The reference's admission by hand: states (x, y) by run and it; the guard is y < low."""
+    out = []
+    for run, trace in runs.items():
+        seen = set(trace.values())
+        box = [(min(s[i] for s in seen), max(s[i] for s in seen)) for i in (0, 1)]
+        first = {}
+        for it in sorted(trace):
+            first.setdefault(trace[it], it)
+        for (x, y), it in first.items():
+            before, after = trace.get(it - 1), trace.get(it + 1)
+            terminal = before is not None and before[1] < low <= y
+            if not terminal and not all(it + k in trace for k in (1, 2, 3)):
+                continue
+            step = (after[0] - x, after[1] - y) if after else (x - before[0], y - before[1]) if before else None
+            moves = [m for d in ((1, 2, 3, 5, 8) if terminal else (1, 2)) for a in (d, -d) for m in ((a, 0), (0, a), (a, a), (a, -a))]
+            for c in moves:
+                z = (x + c[0], y + c[1])
+                on_step = step not in (None, (0, 0)) and any(c == (k * step[0], k * step[1]) for k in range(-9, 10))
+                if all(lo <= v <= hi for v, (lo, hi) in zip(z, box, strict=True)) and (y < low) == (z[1] < low) and not on_step and z not in seen:
+                    out.append((run, *z))
+    return sorted(out)
+
+
+def test_relation_negatives(spark):
+    rng = random.Random(4)
+    runs = {r: {it: (it if r % 2 else rng.randint(0, 7), rng.randint(0, 5)) for it in range(1, 8) if rng.random() < 0.9} for r in range(40)}
+    rows = [(r, it, *s, it) for r, t in runs.items() for it, s in t.items()]
+    got = sampling.relation_negatives(spark.createDataFrame(rows, "run int, it int, x long, y long, _order int"), ["run"], "it", ["x", "y"], F.col("y") < 4)
+    want = relation_wanted(runs)
+    assert want and sorted((r.run, r.x, r.y) for r in got.collect()) == want
+    line = [(1, i, i, 2 * i, 0) for i in range(6)]  # one trajectory: no point of it is a negative
+    got = sampling.relation_negatives(spark.createDataFrame(line, "run int, it int, x long, y long, _order int"), ["run"], "it", ["x", "y"], F.col("y") < 99).collect()
+    assert got and all((r.change_x, r.change_y) not in ((1, 2), (-1, -2)) and r.y != 2 * r.x for r in got)
+
+
+def test_relation_negatives_reads_all_orders(spark, tmp_path):
+    rows = [(o, i + 1, q, 1, 1, 1.0) for o in (1, 2, 5) for i, q in enumerate((1.0, 11.0, 1.0, 31.0, 1.0, 41.0))]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_partkey long, l_suppkey long, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.run: r.n for r in plans.QUERIES["relation_negatives"](spark, str(tmp_path)).collect()}
+    one = relation_wanted({1: {i + 1: (i + 1, int(q // 10)) for i, q in enumerate((1, 11, 1, 31, 1, 41))}})
+    assert one and got == {1: len(one), 2: len(one), 5: len(one)}
