@@ -281,3 +281,9 @@ def test_relation_negatives_reads_all_orders(spark, tmp_path):
     got = {r.run: r.n for r in plans.QUERIES["relation_negatives"](spark, str(tmp_path)).collect()}
     one = relation_wanted({1: {i + 1: (i + 1, int(q // 10)) for i, q in enumerate((1, 11, 1, 31, 1, 41))}})
     assert one and got == {1: len(one), 2: len(one), 5: len(one)}
+
+
+def test_frontier_verdicts_reads_all_orders(spark, tmp_path):
+    rows = [(1, 1, 0.0), (2, 1, 0.09), (40, 2, 0.05), (41, 2, 0.01), (3, 3, 0.03), (4, 3, 0.03)]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert {r.verdict: r.n for r in plans.QUERIES["frontier_verdicts"](spark, str(tmp_path)).collect()} == {"frontier": 2, "flat": 1}
