@@ -8,6 +8,8 @@ Repeated windows that touch or overlap are one repeated run, however long, and a
 
 A line is thus deleted if and only if it lies in `run` equal lines in a row that also start earlier (in an earlier
 document, or earlier in this one), judged on the input. A document with fewer lines is one window of its own length.
+With `enough`, fewer than `run` lines in a row that hold that many words are windows too, so that a long passage is
+found however few lines it is set in.
 
 Cases: null text stays null and has no lines. Blank lines (nothing but spaces) are no part of the sequence; those
 inside a deleted run go with it. Very long texts are read whole; the work for a text is linear in its lines. Equal or
@@ -19,31 +21,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed, stage
+from .common import WORD, keyed, stage
 
 RUN = 3
+#: Words that make a window of fewer lines than RUN.
+ENOUGH = 50
 
 
-def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
+def repeated_runs(docs: DataFrame, run: int = RUN, enough: int | None = None) -> DataFrame:
     """docs: key, text. Maximal runs (key, first, last: line numbers from 0, lines: non-blank ones) to delete."""
     lines = docs.select("key", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).where(F.length(F.trim("line")) > 0)
-    lines = lines.select("key", "i", F.xxhash64("line").alias("h"))
+    n_words = F.lit(0) if enough is None else F.regexp_count("line", F.lit(WORD))
+    lines = lines.select("key", "i", F.xxhash64("line").alias("h"), n_words.alias("n"))
     order = Window.partitionBy("key").orderBy("i")
     ahead = lambda c, k: F.lead(c, k).over(order)
-    lines = lines.withColumns({"j": F.row_number().over(order), **{f"h{k}": ahead("h", k) for k in range(run)}, **{f"i{k}": ahead("i", k) for k in range(run)}})
-    # whole windows, and the only one of a shorter document
-    lines = lines.where(F.col(f"h{run - 1}").isNotNull() | (F.col("j") == 1))
+    lines = lines.withColumns({"j": F.row_number().over(order), **{f"{c}{k}": ahead(c, k) for c in ("h", "i", "n") for k in range(run)}})
     hashes = [F.col(f"h{k}") for k in range(run)]
     width = sum((h.isNotNull().cast("int") for h in hashes[1:]), F.lit(1))
     least = F.least(*hashes) if run > 1 else hashes[0]
-    place = F.coalesce(*[F.when(h == least, F.col("j") + k) for k, h in enumerate(hashes)])
-    windows = lines.select(
-        "key", "j", F.col("i0").alias("first"), F.coalesce(*[F.col(f"i{k}") for k in reversed(range(run))]).alias("last"), (F.col("j") + width - 1).alias("j_last"),
-        least.alias("print"), F.xxhash64(*hashes, width).alias("w"), place.alias("at"),
-    )
+    lines = lines.withColumn("at", F.coalesce(*[F.when(h == least, F.col("j") + k) for k, h in enumerate(hashes)]))
     # a fingerprint that several windows choose counts once
-    before = F.lag("at").over(Window.partitionBy("key").orderBy("j"))
-    windows = windows.withColumn("chosen", ~F.col("at").eqNullSafe(before))
+    lines = lines.withColumn("before", F.lag("at").over(Window.partitionBy("key").orderBy("j")))
+
+    def window(last: Column, width: Column, print_: Column, w: Column, chosen: Column) -> Column:
+        return F.struct(last.alias("last"), (F.col("j") + width - 1).alias("j_last"), print_.alias("print"), w.alias("w"), chosen.alias("chosen"))
+
+    def short(k: int) -> Column:  # k lines that hold enough words; they meet by their whole content
+        w = F.xxhash64(*hashes[:k], F.lit(k))
+        return F.when(sum((F.col(f"n{i}") for i in range(k)), F.lit(0)) >= enough, window(F.col(f"i{k - 1}"), F.lit(k), w, w, F.lit(True)))
+
+    # whole windows, and the only one of a shorter document
+    whole = window(F.coalesce(*[F.col(f"i{k}") for k in reversed(range(run))]), width, least, F.xxhash64(*hashes, width), ~F.col("at").eqNullSafe(F.col("before")))
+    made = [F.when(F.col(f"h{run - 1}").isNotNull() | (F.col("j") == 1), whole)] + ([] if enough is None else [short(k) for k in range(1, run)])
+    windows = lines.select("key", "j", F.col("i0").alias("first"), F.explode(F.array_compact(F.array(*made))).alias("x")).select("key", "j", "first", "x.*")
     windows = stage(windows, "windows")
     prints = windows.where("chosen").groupBy("print").agg(F.count("*").alias("c")).where("c > 1").select("print")
     shared = windows.join(prints, "print", "left_semi")
@@ -58,12 +68,12 @@ def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
     return runs.drop("number")
 
 
-def dedup(docs: DataFrame, run: int = RUN) -> DataFrame:
+def dedup(docs: DataFrame, run: int = RUN, enough: int | None = None) -> DataFrame:
     """docs with its repeated runs cut from text, and n_lines, n_removed (non-blank lines) and n_runs."""
     d, _ = keyed(docs)
     # the columns of docs travel as one, so that none clashes with those used here
     d = d.select(F.col("_key").alias("key"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"))
-    runs = repeated_runs(d.select("key", "text"), run)
+    runs = repeated_runs(d.select("key", "text"), run, enough)
     runs = runs.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"), F.sum("lines").alias("lines")).withColumnRenamed("key", "r_key")
     d = d.join(runs, F.col("key") == F.col("r_key"), "left")
 

@@ -161,6 +161,15 @@ def test_line_dedup_within_a_document(spark):
     assert (r.text, r.n_removed, r.n_runs) == ("a\nb\nc\nx\n\ny", 3, 1)
 
 
+def test_line_dedup_of_long_passages(spark):
+    rng = random.Random(8)
+    one, a, b, short = prose(rng, 60), prose(rng, 30), prose(rng, 25), prose(rng, 9)
+    rows = [(1, f"x\n{one}\ny\n{a}\n{b}\n{short}\nz"), (2, f"p\nq\n{one}\n{short}\nr"), (3, one), (4, f"s\n\n{a}\n\n{b}\nt\n{short}"), (5, f"u\n{a}\nv\n{b}")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_removed, r.n_runs) for r in line_dedup.dedup(d, enough=50).collect()}
+    assert got == {1: (rows[0][1], 0, 0), 2: (f"p\nq\n{short}\nr", 1, 1), 3: ("", 1, 1), 4: (f"s\n\nt\n{short}", 2, 1), 5: (rows[4][1], 0, 0)}
+
+
 def luhn(s):
     return sum((lambda d: d if i % 2 == 0 else d * 2 - 9 * (d > 4))(int(c)) for i, c in enumerate(reversed(s))) % 10 == 0
 
