@@ -3,7 +3,7 @@
 Found and checked: card numbers (13 to 19 digits, or four groups of four, with a right Luhn digit), IPv4 addresses
 (octets up to 255), phone numbers with an area code in brackets or in the form 123-456-7890, dates of the years
 1900 to 2299 that exist (2024-01-31, 31.01.2024, 01/31/2024, or 31/01/2024 where that alone exists), e-mail
-addresses, and values of 16 or more characters that are assigned to a token, key, secret or password. What fails its
+addresses, and values of 16 or more characters, however long, that are assigned to a token, key, secret or password. What fails its
 check stays as it is.
 
 Each is permuted by a keyed Feistel network within its format: digits stay digits and letters letters of their case,
@@ -25,11 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+#: Half of the longest value whose halves are hashed as they are.
+LONG = 256
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Kind -> pattern; the first kind that matches at a place has it.
 PATTERNS = {
-    "email": "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)*(?<=\\.[A-Za-z]{2,12})(?![A-Za-z0-9-])",
-    "secret": "(?i:\\b(?:token|secret|password|api[_-]?key|access[_-]?key)\\s{0,3}[=:]\\s{0,3}[\"']?[A-Za-z0-9+/_-]{16,512}+)",
+    "email": "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\\.)+(?:[A-Za-z]{2,}+|(?i:xn--)[A-Za-z0-9-]++)(?![A-Za-z0-9-])",
+    "secret": "(?i:\\b(?:token|secret|password|api[_-]?key|access[_-]?key)\\s{0,3}[=:]\\s{0,3}[\"']?[A-Za-z0-9+/_-]{16,}+)",
     "ip": f"(?<![0-9.]){_OCTET}(?:\\.{_OCTET}){{3}}(?![0-9]|\\.[0-9])",
     "card": "(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3})(?![0-9])",
     "phone": "(?:(?<![0-9])\\+[0-9]{1,3} )?\\([0-9]{3}\\) [0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
@@ -67,18 +69,21 @@ def feistel_string(s: Column, key: str, kind: str, hexadecimal: Column | None =
     hexadecimal = F.lit(False) if hexadecimal is None else hexadecimal
 
     def shifted(part: Column, other: Column, i: Column) -> Column:
-        def letter(k: Column) -> Column:
-            return let(F.substring(part, k, F.lit(1)), lambda c: let(alphabet_of(c), lambda alphabet: moved(c, alphabet, k)))
+        def letter(c: Column, k: Column, other: Column) -> Column:
+            return let(alphabet_of(c), lambda alphabet: moved(c, alphabet, k + 1, other))
 
         def alphabet_of(c: Column) -> Column:
             lower, upper = F.when(hexadecimal, F.lit(LOWER[:6])).otherwise(LOWER), F.when(hexadecimal, F.lit(UPPER[:6])).otherwise(UPPER)
             return F.when(c.between("0", "9"), F.lit(DIGITS)).when(c.between("a", "z"), lower).when(c.between("A", "Z"), upper).otherwise(c)
 
-        def moved(c: Column, alphabet: Column, k: Column) -> Column:
+        def moved(c: Column, alphabet: Column, k: Column, other: Column) -> Column:
             place = F.instr(alphabet, c)
             return F.substring(alphabet, ((place - 1 + _keyed(key, F.lit(kind), i, k, other)) % F.length(alphabet) + 1).cast("int"), F.lit(1))
 
-        return F.when(F.length(part) == 0, part).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(part), F.lit(1))), letter), ""))
+        # a long half counts by its digest, and letters are cut once: the work is linear in the length
+        brief = F.when(F.length(other) > LONG, F.sha2(other, 256)).otherwise(other)
+        new = let(brief, lambda o: F.array_join(F.transform(F.split(part, ""), lambda c, k: letter(c, k, o)), ""))
+        return F.when(F.length(part) == 0, part).otherwise(new)
 
     def step(x: Column, i: Column) -> Column:
         return F.struct(F.when(i % 2 == 0, shifted(x["l"], x["r"], i)).otherwise(x["l"]).alias("l"), F.when(i % 2 == 1, shifted(x["r"], x["l"], i)).otherwise(x["r"]).alias("r"))

@@ -193,6 +193,21 @@ def test_pii(spark, none):
     assert pii.pseudonyms(none, "k").count() == 0
 
 
+def test_pii_takes_whole_secrets_and_long_domains(spark):
+    rng = random.Random(6)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choice(letters) for _ in range(n)) for n in (512, 513, 3000, 100000)]
+    mails = ["ann.lee@mail.international", "ann.lee@x.cancerresearch", "ann.lee@mail.xn--p1ai", "ann.lee@a.xn--vermgensberatung-pwb"]
+    rows = [(i, f"token = {k}; end") for i, k in enumerate(keys)] + [(9, " ".join(mails)), (10, "ann.lee@host.12 ann.lee@host ann.lee@a.x1")]
+    got = {r.doc_id: r for r in pii.pseudonyms(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    for i, k in enumerate(keys):
+        new = got[i].text.removeprefix("token = ").removesuffix("; end")
+        assert got[i].n_secret == 1 and len(new) == len(k) and sum(x == y for x, y in zip(k, new, strict=True)) < len(k) / 8
+        assert not any(k[j : j + 12] in new for j in range(0, len(k) - 12, 97))
+    assert got[9].n_email == 4 and "ann.lee" not in got[9].text and [m.split("@")[1] for m in got[9].text.split()] == [m.split("@")[1] for m in mails]
+    assert got[10].n_email == 0 and got[10].text == rows[-1][1]
+
+
 def test_pii_is_a_bijection(spark):
     n = spark.range(189 * 773).select(pii.feistel_number(F.floor(F.col("id") / 773), F.col("id") % 773, (189, 773), "k", "date").alias("p"))
     assert n.distinct().count() == 189 * 773
