@@ -7,10 +7,14 @@ holds the payload in a response record, the others are revisit records that refe
 grouped and joined to find them, so a payload that a third of all pages share makes no large group; pages meet
 their reference by page_id.
 
-Reading: each file is read by one task, record by record. A record counts if its member inflates with a right
-checksum, its block has the stated length and, for responses, the payload has the stated digest. After a failed
-check the reader searches for the next place where a valid member or a version line starts, goes on there, and logs
-the bytes between as a gap. Archives may be compressed or not.
+Reading: each file is read by one task, record by record. A record of any type counts if its member inflates with a
+right checksum, its block has the stated length, and block and payload have the digests that are stated, by the
+algorithm they name (md5 and the SHAs, in hex or base32; others are not checked). The payload is what follows the HTTP
+headers, or the whole block if it has none; payload_digest is its SHA-256, for revisits the digest they state. The
+stated payload digests of revisits and of segments are of other bytes than theirs and are not checked. A member may
+hold several records, which have its start and stop. After a failed check the reader searches for the next place
+where a valid member or a version line starts, goes on there, and logs the bytes between as a gap. Archives may be
+compressed or not.
 
 Cases: null html is an empty payload; null url leaves the header out; a null page_id is never referred to, but may
 refer. Payloads under MIN_REVISIT bytes are always responses. Rows equal in page_id and payload are of one kind.
@@ -19,11 +23,13 @@ Empty tables and files give no rows.
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
@@ -41,6 +47,8 @@ RECORDS = "path string, start long, stop long, fault string, record_type string,
 _TYPES = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
 _MANIFEST, _RECORDS = (pa.schema([(n, _TYPES[t]) for n, t in map(str.split, ddl.split(", "))]) for ddl in (MANIFEST, RECORDS))
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+_ALGORITHMS = {"md5", "sha1", "sha224", "sha256", "sha384", "sha512"}
 _NAMESPACE = uuid.UUID(int=0)
 
 
@@ -95,25 +103,64 @@ def _parse(data: bytes, at: int) -> tuple[dict, int]:
     stop = end + 4 + int(size)
     if data[stop : stop + 4] != b"\r\n\r\n":
         raise ValueError("block and length differ")
-    head, gap, payload = data[end + 4 : stop].partition(b"\r\n\r\n")
-    if not gap:
-        raise ValueError("no HTTP headers")
-    kind, digest = h.get("warc-type"), h.get("warc-payload-digest", "").removeprefix("sha256:")
-    length = len(payload)
-    if kind not in ("response", "revisit"):
-        raise ValueError("no known record type")
+    if not re.fullmatch("[A-Za-z0-9!#$%&'*+.^_`|~-]+", kind := h.get("warc-type", "")):
+        raise ValueError("no record type")
+    block = data[end + 4 : stop]
+    if not _holds(h.get("warc-block-digest"), block):
+        raise ValueError("block and digest differ")
+    head, payload = b"", block
+    if h.get("content-type", "").lower().startswith("application/http") or block.startswith(b"HTTP/"):
+        first, gap, rest = block.partition(b"\r\n\r\n")
+        head, payload = (first, rest) if gap else (head, payload)
+    http, stated = _headers(head), h.get("warc-payload-digest")
     if kind == "revisit":
-        length = int(_headers(head).get("content-length", "0"))
-    elif hashlib.sha256(payload).hexdigest() != digest:
-        raise ValueError("payload and digest differ")
-    number = lambda x: int(x) if x is not None else None
-    return {"record_type": kind, "page_id": number(h.get("x-page-id")), "url": h.get("warc-target-uri"), "payload_bytes": length, "payload_digest": digest, "refers_to": number(h.get("x-refers-to-page-id")), "payload": payload if kind != "revisit" else None}, stop + 4
+        size = http.get("content-length", "")
+        length, digest, payload = int(size) if size.isdecimal() and len(size) < 19 else 0, (stated or "").removeprefix("sha256:"), None
+    else:
+        length, digest = len(payload), hashlib.sha256(payload).hexdigest()
+        if "warc-segment-number" not in h and not _holds(stated, payload, digest):
+            if "chunked" not in http.get("transfer-encoding", "").lower() or not _holds(stated, _joined(payload)):
+                raise ValueError("payload and digest differ")
+    return {"record_type": kind, "page_id": _number(h.get("x-page-id")), "url": h.get("warc-target-uri"), "payload_bytes": length, "payload_digest": digest, "refers_to": _number(h.get("x-refers-to-page-id")), "payload": payload}, stop + 4
+
+
+def _number(x: str | None) -> int | None:
+    return int(x) if x is not None and re.fullmatch("-?[0-9]{1,18}", x) else None
+
+
+def _holds(stated: str | None, data: bytes, sha256: str | None = None) -> bool:
+    """Have the bytes the digest `algorithm:value`? True if none is stated, or one of an unknown algorithm."""
+    name, _, value = (stated or "").partition(":")
+    name = name.strip().lower().replace("-", "")
+    if name not in _ALGORITHMS:
+        return True
+    value = value.strip()
+    digest = bytes.fromhex(sha256) if name == "sha256" and sha256 else hashlib.new(name, data).digest()
+    if value.lower() == digest.hex():
+        return True
+    try:
+        return base64.b32decode(value.rstrip("=").upper() + "=" * (-len(value.rstrip("=")) % 8)) == digest
+    except (binascii.Error, ValueError):
+        return False
+
+
+def _joined(body: bytes) -> bytes:
+    """A chunked HTTP body without its chunk sizes, as far as it is one."""
+    out, at = [], 0
+    while m := re.compile(rb"([0-9A-Fa-f]{1,8})[^\r\n]*\r\n").match(body, at):
+        size = int(m[1], 16)
+        if not size:
+            break
+        out.append(body[m.end() : m.end() + size])
+        at = m.end() + size + 2
+    return b"".join(out)
 
 
-def _at(data: bytes, at: int) -> tuple[dict, int]:
-    """As _parse, for a gzip member too."""
+def _at(data: bytes, at: int) -> tuple[list[dict], int]:
+    """The records that start at `at`, several in a gzip member; gaps inside a member are among them."""
     if not data.startswith(b"\x1f\x8b", at):
-        return _parse(data, at)
+        rec, stop = _parse(data, at)
+        return [rec], stop
     z = zlib.decompressobj(31)
     try:
         plain = z.decompress(memoryview(data)[at:])
@@ -121,28 +168,33 @@ def _at(data: bytes, at: int) -> tuple[dict, int]:
         raise ValueError(f"member: {e}") from e
     if not z.eof:
         raise ValueError("member is cut off")
-    rec, end = _parse(plain, 0)
-    if end != len(plain):
-        raise ValueError("member holds more than a record")
-    return rec, len(data) - len(z.unused_data)
+    found = [{k: v for k, v in r.items() if k not in ("start", "stop")} for r in _scan(plain, lambda d, i: (lambda rec, stop: ([rec], stop))(*_parse(d, i)), _VERSION)]
+    if all("fault" in r for r in found):
+        raise ValueError(found[0]["fault"] if found else "member is empty")
+    return found, len(data) - len(z.unused_data)
 
 
 def salvage(data: bytes) -> Iterator[dict]:
     """Records with start and stop, and gaps: start, stop and the fault that was found at the start."""
+    return _scan(data, _at, _START)
+
+
+def _scan(data: bytes, read: Callable[[bytes, int], tuple[list[dict], int]], begin: re.Pattern) -> Iterator[dict]:
     at, gap, fault = 0, None, ""
     while at < len(data):
         try:
-            rec, stop = _at(data, at)
+            recs, stop = read(data, at)
         except ValueError as e:
             if gap is None:
                 gap, fault = at, str(e)
-            found = _START.search(data, at + 1)
+            found = begin.search(data, at + 1)
             at = found.start() if found else len(data)
             continue
         if gap is not None:
             yield {"start": gap, "stop": at, "fault": fault}
             gap = None
-        yield rec | {"start": at, "stop": stop}
+        for rec in recs:
+            yield rec | {"start": at, "stop": stop}
         at = stop
     if gap is not None:
         yield {"start": gap, "stop": len(data), "fault": fault}

@@ -1,5 +1,6 @@
 """Each operator against a brute-force version or an exact round trip, with nulls, empty and long texts, ties, repeats, no rows and extra columns."""
 
+import base64
 import hashlib
 import random
 from collections import defaultdict
@@ -248,6 +249,38 @@ def test_warc_salvage(packed):
     assert list(warc.salvage(b"")) == []
 
 
+def foreign(kind, block, *head):
+    return "\r\n".join(["WARC/1.0", f"WARC-Type: {kind}", *head, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("how", ["plain", "members", "one member"])
+def test_warc_of_other_writers(how):
+    body, http = b"<p>page</p>", "Content-Type: application/http; msgtype=response"
+    block = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n"
+    sha1 = hashlib.sha1(body).digest()
+    b32 = base64.b32encode(sha1).decode()
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n"
+    good = [
+        foreign("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields"),
+        foreign("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "Content-Type: application/http; msgtype=request"),
+        foreign("response", block + body, http, f"WARC-Payload-Digest: sha1:{b32}", f"WARC-Block-Digest: sha1:{base64.b32encode(hashlib.sha1(block + body).digest()).decode()}"),
+        foreign("response", block + body, http, f"WARC-Payload-Digest: sha1:{sha1.hex()}"), foreign("response", block + body, http), foreign("response", block + body, http, "WARC-Payload-Digest: blake9:zz"),
+        foreign("response", chunked + b"b\r\n" + body + b"\r\n0\r\n\r\n", http, f"WARC-Payload-Digest: sha1:{b32}"),
+        foreign("response", b"dns a 1.2.3.4", "Content-Type: text/dns", "X-Page-ID: none"), foreign("resource", b"bytes", "WARC-Payload-Digest: md5:" + hashlib.md5(b"bytes").hexdigest()),
+        foreign("metadata", b""), foreign("conversion", b"text"), foreign("revisit", b"", f"WARC-Payload-Digest: sha1:{b32}"), foreign("new-type", b"z"),
+    ]
+    bad = [foreign("response", block + body + b"!", http, f"WARC-Payload-Digest: sha1:{b32}"), foreign("metadata", b"x", "WARC-Block-Digest: sha1:AAAA")]
+    whole = [good[0], bad[0], *good[1:], bad[1]]
+    data = b"".join(whole) if how == "plain" else warc.member(b"".join(whole)) if how == "one member" else b"".join(map(warc.member, whole))
+    got = list(warc.salvage(data))
+    kinds = ["warcinfo", "request", "response", "response", "response", "response", "response", "response", "resource", "metadata", "conversion", "revisit", "new-type"]
+    assert [r["record_type"] for r in got if "fault" not in r] == kinds
+    assert [r["fault"] for r in got if "fault" in r] == ["payload and digest differ", "block and digest differ"]
+    pages = [r for r in got if "fault" not in r]
+    assert [r["payload"] for r in pages[2:6]] == [body] * 4 and pages[7]["payload"] == b"dns a 1.2.3.4" and pages[11]["payload"] is None
+    assert {r["payload_digest"] for r in pages[2:6]} == {hashlib.sha256(body).hexdigest()} and pages[11]["payload_digest"] == f"sha1:{b32}"
+
+
 def test_language_id(spark, none):
     rng = random.Random(1)
     sounds = {"aa": ["the", "ing", "and", "sh"], "bb": ["eau", "que", "les", "é"], "cc": ["sch", "ung", "ü", "ein"], "dd": ["ción", "ar", "os", "ñ"]}
