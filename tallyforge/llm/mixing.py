@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stage
+from .common import WORD, keyed, stage
 
 
 def _digest(doc_id: str, seed: str) -> Column:
@@ -46,9 +46,10 @@ def targets(sizes: DataFrame, max_epochs: int = 3, weights: tuple[float, ...] =
     return s.select("source", "source_size", "weight", "target")
 
 
-def mix_plan(docs: DataFrame, max_epochs: int = 3, weights: tuple[float, ...] = (1, 2, 3), seed: str = "mix", text: str = "text") -> DataFrame:
-    """Return doc_id, source, size, source_size, target, taken, repeats (whole rounds) and rest (words of the last, partial round)."""
-    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), _digest("doc_id", seed).alias("digest"))
+def mix_plan(docs: DataFrame, max_epochs: int = 3, weights: tuple[float, ...] = (1, 2, 3), seed: str = "mix", text: str = "text", key: str | None = None) -> DataFrame:
+    """Return key (if one is named: a column that tells rows apart), doc_id, source, size, source_size, target, taken, repeats (whole rounds) and rest (words of the last, partial round)."""
+    own = [key] if key else []
+    rows = docs.select(*own, "doc_id", "source", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), _digest("doc_id", seed).alias("digest"))
     rows = stage(rows.withColumn("bucket", F.substring("digest", 1, 3)), "mix")
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     aim = targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), max_epochs, weights)
@@ -57,22 +58,23 @@ def mix_plan(docs: DataFrame, max_epochs: int = 3, weights: tuple[float, ...] =
     buckets = buckets.join(aim.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     b = buckets.withColumnsRenamed({"source": "b_source", "bucket": "b_bucket"})
     rows = rows.join(b, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
-    here = Window.partitionBy("source", "bucket").orderBy("digest", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    here = Window.partitionBy("source", "bucket").orderBy("digest", "doc_id", "size", *own).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.col("before") + F.coalesce(F.sum("size").over(here), F.lit(0)))
     want = F.floor("target").cast("long")
     rows = rows.withColumn("repeats", F.when(F.col("source_size") > 0, F.floor(want / F.col("source_size"))).otherwise(0).cast("long"))
     rows = rows.withColumn("rest", F.greatest(F.lit(0), F.least(F.col("size"), want - F.col("repeats") * F.col("source_size") - F.col("before"))).cast("long"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("repeats") * F.col("size") + F.col("rest")).alias("taken"), "repeats", "rest")
+    return rows.select(*own, "doc_id", "source", "size", "source_size", "target", (F.col("repeats") * F.col("size") + F.col("rest")).alias("taken"), "repeats", "rest")
 
 
 def mixed(docs: DataFrame, max_epochs: int = 3, weights: tuple[float, ...] = (1, 2, 3), seed: str = "mix") -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of docs.
 
     Whole documents only: a partial round counts as a whole one if it takes at least half of the document's words.
-    doc_id identifies a document here; rows with a null doc_id and documents without words are left out.
+    Rows are told apart by common.keyed, so that null and shared doc_ids are mixed row by row. Documents without words are left out.
     """
-    plan = mix_plan(docs, max_epochs, weights, seed).where(F.col("doc_id").isNotNull())
+    d, _ = keyed(docs)
+    plan = mix_plan(d, max_epochs, weights, seed, key="_key")
     times = (F.col("repeats") + (F.col("rest") * 2 >= F.col("size")).cast("long")).cast("int")
-    plan = plan.where("size > 0").groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max(times).alias("_mix_times")).where("_mix_times > 0")
-    repeated = docs.join(plan, docs["doc_id"] == plan["_mix_id"])
+    plan = plan.where("size > 0").select(F.col("_key").alias("_mix_id"), times.alias("_mix_times")).where("_mix_times > 0")
+    repeated = d.join(plan, d["_key"] == plan["_mix_id"])
     return repeated.withColumn("_mix_round", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*docs.columns)

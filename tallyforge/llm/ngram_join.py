@@ -331,6 +331,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = SHINGLE_WOR
 
 
 def keep_first(docs: DataFrame, percent: int = 80, words: int = SHINGLE_WORDS) -> DataFrame:
-    """docs without the near duplicates: of each component the document with the smallest doc_id stays. doc_ids are unique."""
-    found = near_duplicates(docs, percent, words).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(found, docs["doc_id"] == found["_gone"], "left_anti")
+    """docs without the near duplicates: of each component the document with the smallest doc_id stays; null and shared doc_ids are told apart by common.keyed."""
+    d, _ = keyed(docs)
+    found = near_duplicates(d.select(F.col("_key").alias("doc_id"), "text"), percent, words).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+    return d.join(found, d["_key"] == found["_gone"], "left_anti").select(*docs.columns)

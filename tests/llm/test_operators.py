@@ -317,6 +317,18 @@ def test_mixing(docs, rows, none):
     assert set(mixing.mixed(docs).columns) == set(docs.columns)
 
 
+def test_stages_tell_null_and_shared_ids_apart(spark):
+    same, near = " ".join(f"w{i}" for i in range(60)), " ".join([*(f"w{i}" for i in range(59)), "other"])
+    rows = [(1, same, "a"), (2, near, "a"), (2, "q r s t u v", "a"), (None, near, "a"), (None, "k l m n o p", None), (7, "one two three four five", None), (7, "one two three four five", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = ngram_join.keep_first(d)
+    assert kept.columns == d.columns
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([rows[0], rows[2], rows[4], rows[5]], key=repr)
+    rows = [(None, "a b c d", "s"), (None, "e f g h", "s"), (3, "i j k l", "s"), (3, "m n o p", "s"), (3, "m n o p", "s"), (None, None, "s")]
+    got = sorted(map(tuple, mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()), key=repr)
+    assert got == sorted(rows[:5], key=repr)  # one source: each document once
+
+
 def test_water_filling(spark):
     s = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 100), (None, 5)], "source string, source_size long")
     t = {r.source: r.target for r in mixing.targets(s).collect()}
