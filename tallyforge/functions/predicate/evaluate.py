@@ -97,6 +97,15 @@ def evaluate(clause: str | None, variables: dict[str, int], pre: dict[str, int]
         return None
 
 
+def number(term: tuple, variables: dict[str, int]) -> int | None:
+    """The number that a term gives, or null."""
+    try:
+        value = _value(term, {("var", k): v for k, v in variables.items()})
+    except (ArithmeticError, ValueError, KeyError, RecursionError):
+        return None
+    return None if isinstance(value, bool) else value
+
+
 def first_falsifying(clause: str, states: Iterable[dict]) -> int | None:
     """Position of the first state (vars, pre, loop_entry) that falsifies the clause; none if one before it has no value.
 

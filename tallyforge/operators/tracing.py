@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 
 from ..functions import interpret
 from ..functions.predicate import evaluate
+from ..functions.predicate.evaluate import number
 from ..functions.program import Program, determinized, parse_program, strip_target
 from .sampling import TOTAL
 
@@ -53,8 +54,48 @@ def param_bounds(requires: str, params: list[str]) -> dict[str, tuple[int | None
     return {p: (low.get(p), high.get(p)) for p in params}
 
 
+def equalities(requires: str, params: list[str]) -> list[tuple[str, tuple]]:
+    """(parameter, the term it equals) of the conjuncts of requires."""
+    from ..functions.predicate.syntax import ParseError, parse
+
+    out: list[tuple[str, tuple]] = []
+
+    def walk(t: tuple) -> None:
+        if t[0] == "and":
+            for x in t[1]:
+                walk(x)
+        if t[0] == "cmp" and len(t[2]) == 1 and t[2][0][0] == "==":
+            left, right = t[1], t[2][0][1]
+            if left[0] == "var" and left[1] in params:
+                out.append((left[1], right))
+            elif right[0] == "var" and right[1] in params:
+                out.append((right[1], left))
+
+    try:
+        walk(parse(requires))
+    except ParseError:
+        pass
+    return out
+
+
+def propagated(equal: list[tuple[str, tuple]], start: dict[str, int], bounds: dict[str, tuple[int | None, int | None]]) -> dict[str, int]:
+    """Start with values carried along equalities, last ones first, until nothing changes or the rounds are used up."""
+    values = dict(start)
+    for _ in range(max(2, 2 * len(equal))):
+        before = dict(values)
+        for name, term in reversed(equal):
+            value, (low, high) = number(term, values), bounds[name]
+            if value is not None and (low is None or value >= low) and (high is None or value <= high):
+                values[name] = value
+        if values == before:
+            break
+    return values
+
+
 def sample_inputs(program: Program, n_runs: int, seed: int = 0) -> list[dict[str, int]]:
-    """Inputs in a fixed order: far probes, a stripe of tiers, a grid, neighbours of literals, seeded draws; each holds the whole of requires, once."""
+    """Inputs in a fixed order: far probes, a stripe of tiers, a grid whose fastest digit rotates over the parameters, neighbours of
+    literals, literals of requires with offsets on parameters and ordered pairs, values carried along equalities, seeded draws; each holds the whole of requires, once.
+    None at all is an error."""
     bounds = param_bounds(program.requires, program.params)
     rng = random.Random(seed)
     tiers = (0, 1, 2, 3, 5, 8, 10, 16, 32, 64, 100)
@@ -69,7 +110,15 @@ def sample_inputs(program: Program, n_runs: int, seed: int = 0) -> list[dict[str
         at = low if low is not None else (high if high is not None else 0)
         return [at, at + 1, at + 2, at + 7, -1 if low is None else at + 13]
 
-    literals = sorted({int(x) for x in re.findall(r"\b\d{1,6}\b", program.source)})[:16]
+    literals = sorted({int(x) for x in re.findall(r"\b\d{1,6}\b", program.source)})
+    required = sorted({int(x) for x in re.findall(r"(?<![A-Za-z_])-?\d+", program.requires)})
+    digits = {p: [*near(p), *(fit(p, t) for t in tiers)] for p in program.params}
+
+    def grid(r: int, rotation: int) -> dict[str, int]:
+        ps, n = program.params, len(tiers) + 5
+        return {p: digits[p][r // n ** ((j - rotation) % len(ps)) % n] for j, p in enumerate(ps)}
+
+    equal = equalities(program.requires, program.params)
 
     def proposals() -> Iterator[tuple[int, ...]]:
         ps = program.params
@@ -77,11 +126,21 @@ def sample_inputs(program: Program, n_runs: int, seed: int = 0) -> list[dict[str
             yield tuple(fit(p, n) for p in ps)
         for t in tiers:
             yield tuple(fit(p, t) for p in ps)
-        yield from itertools.islice(itertools.product(*[near(p) for p in ps]), 256)
+        for i in range(max(400 * n_runs, 4000) if ps else 0):
+            yield tuple(grid(i // len(ps), i % len(ps)).values())
         for n in literals:
             for d in (-1, 0, 1):
                 for p in ps:
                     yield tuple(fit(q, n + d if q == p else tiers[2]) for q in ps)
+        for n in required:
+            for i, d in enumerate(tiers):
+                base = {p: fit(p, tiers[(i + j) % len(tiers)]) for j, p in enumerate(ps)}
+                for p in ps:
+                    yield tuple({**base, p: fit(p, n + d)}.values())
+                for p, q in itertools.permutations(ps, 2):
+                    yield tuple({**base, p: fit(p, n + d), q: fit(q, d)}.values())
+        for i in range(max(24, 8 * len(ps)) if equal else 0):
+            yield tuple(propagated(equal, grid(i, i % len(ps)), bounds).values())
         for _ in range(20 * n_runs):
             yield tuple(fit(p, rng.randint(-50, 200)) for p in ps)
 
@@ -92,6 +151,8 @@ def sample_inputs(program: Program, n_runs: int, seed: int = 0) -> list[dict[str
             out[values] = inputs
             if len(out) >= n_runs or not program.params:
                 break
+    if not out:
+        raise ValueError(f"no input satisfies requires: {program.requires}")
     return list(out.values())
 
 

@@ -287,3 +287,24 @@ def test_frontier_verdicts_reads_all_orders(spark, tmp_path):
     rows = [(1, 1, 0.0), (2, 1, 0.09), (40, 2, 0.05), (41, 2, 0.01), (3, 3, 0.03), (4, 3, 0.03)]
     spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert {r.verdict: r.n for r in plans.QUERIES["frontier_verdicts"](spark, str(tmp_path)).collect()} == {"frontier": 2, "flat": 1}
+
+
+def inputs_of(requires, params):
+    head = ", ".join(f"int {p}" for p in params)
+    return tracing.sample_inputs(parse_program(f"/*@ requires {requires}; */\nint f({head}) {{ int i = 0; while (i < 3) {{ i++; }} return i; }}"), 8)
+
+
+def test_sample_inputs_of_required_values():
+    assert all(x["a"] == x["b"] + 10000 for x in inputs_of("a == b + 10000", "ab"))
+    many = " || ".join(f"n * 7 == {k * 1001 * 7}" for k in range(300, 320)) + " || n == 987001"
+    assert {x["n"] for x in inputs_of(f"n != 987000 && n > 900000 && ({many})", "n")} == {987001}
+    assert inputs_of("a < 0 && (a == -123456789 || a == -9000000)", "a")
+    assert all(x["x"] == x["y"] == x["z"] + 5 and x["z"] == x["w"] * 777 for x in inputs_of("x == y && y == z + 5 && z == w * 777", "wxyz"))
+    assert inputs_of("a == b && c == d && e == f && a > 40 && f < 3 && a * 3 != c", "abcdef")
+    with pytest.raises(ValueError, match="no input"):
+        inputs_of("n > 3 && n < 3", "n")
+
+
+def test_sample_inputs_moves_every_parameter():
+    got = tracing.sample_inputs(parse_program("int f(int a, int b, int c, int d, int e, int g) { int i = 0; while (i < 3) { i++; } return i; }"), 200)
+    assert len(got) == 200 and all(len({x[p] for x in got[13:]}) >= 5 for p in "abcdeg")
