@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import releasing, stage
 
 CURVES, SLICES, DIMS, BITS, SAMPLE = 16, 40, 8, 4, 10_000
 
@@ -91,6 +91,7 @@ def _usable(v: Column) -> Column:
 
 
 def _along(curves) -> object:
+    @releasing
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = curves.value
         for batch in it:
@@ -152,6 +153,7 @@ def _nearest(k: int):
             ids = np.asarray(self.ids, np.int64)
             return pa.RecordBatch.from_arrays([pa.array(ids[q] if len(q) else q), pa.array(uid), pa.array(d)], names=["query", "uid", "d"])
 
+    @releasing
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, search = None, Search()
         for batch in it:

@@ -12,7 +12,8 @@ BPE files of the tokenizers library are read, with or without a word-end suffix,
 expression Replace normalizers and Split pre-tokenizers.
 
 Cases: null text counts as empty and gives no token. Very long texts and words are taken whole. Texts that hold a
-special token's string give its id, as in that library. Repeated rows are encoded each; extra columns stay.
+special token's string give its id, as in that library. Repeated rows are encoded each; extra columns stay,
+but one named as the result is replaced by it. No rows: no rows.
 """
 
 from __future__ import annotations
@@ -25,15 +26,19 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import freed
+
 #: Unicode White_Space: what \s means in tokenizer files (Python's also takes U+001C to U+001F).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-CACHED_WORDS = 1 << 18
+#: Words, and pairs of tokens, that a worker remembers: some 15 MB each, dropped with the encoder when its task ends.
+CACHED_WORDS = 1 << 16
+CACHED_PAIRS = 1 << 17
 
 
 def byte_letters() -> list[str]:
@@ -50,9 +55,9 @@ class PairTable:
         self.merged, self.parts, self.known = merged, parts, {}
 
     def fits(self, left: int, right: int) -> bool:
-        key = (left, right)
+        key = left << 32 | right
         if (known := self.known.get(key)) is None:
-            if len(self.known) > 1 << 20:
+            if len(self.known) >= CACHED_PAIRS:
                 self.known.clear()
             known = self.known[key] = self._fits(left, right)
         return known
@@ -121,7 +126,9 @@ class Encoder:
         self.blob = np.frombuffer(b"".join(blob), np.uint8)
         self.decoder = j.get("decoder")
         self.numbers = [str(i) for i in range(size)]
-        self.cache: dict[str, list[int]] = {}
+        # words of late, and those of before: one that comes again moves back to the first
+        self.late: dict[str, list[int]] = {}
+        self.before: dict[str, list[int]] = {}
 
     @staticmethod
     def _steps(part: dict | None, key: str) -> list[dict]:
@@ -180,24 +187,24 @@ class Encoder:
 
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
-        cache = self.cache
         for k, piece in enumerate(self.special.split(text or "") if self.special else [text or ""]):
             if k % 2:
                 out.append(self.added[piece])
                 continue
-            found = self.pattern.findall(self.normalize(piece))
-            for w in found:
-                ids = cache.get(w)
+            late = self.late
+            for w in self.pattern.findall(self.normalize(piece)):
+                ids = late.get(w)
                 if ids is None:
-                    if len(cache) >= CACHED_WORDS:
-                        cache.clear()
-                    ids = cache[w] = self.encode_word(w)
+                    if len(late) >= CACHED_WORDS:
+                        self.before, self.late = late, {}
+                        late = self.late
+                    ids = late[w] = self.before.get(w) or self.encode_word(w)
                 out += ids
         return out
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: list[int] | np.ndarray) -> bytes:
         """Token strings joined by spaces where the file names no decoder; byte letters turned back where it names ByteLevel."""
-        if not ids:
+        if not len(ids):
             return b""
         i = np.asarray(ids, np.int64)
         spaced = self.decoder is None
@@ -213,11 +220,6 @@ class Encoder:
         return bytes(back[c] for c in self.blob[take].tobytes().decode())
 
 
-@functools.lru_cache(maxsize=2)
-def encoder(spec: bytes) -> Encoder:
-    return Encoder(spec)
-
-
 def _spec(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -227,11 +229,17 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
     """docs with a column of token ids."""
     spec = docs.sparkSession.sparkContext.broadcast(_spec(path))
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        e = encoder(spec.value)
-        for s in texts:
-            yield s.map(e.encode, na_action=None)
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def ids(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        with freed():
+            e = Encoder(spec.value)
+            for column in texts:
+                # numbers, not Python objects: a batch may hold millions of tokens
+                found = [np.array(e.encode(t.as_py()), np.int32) for t in column]
+                ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+                yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *found])))
+                del found
+            del e
 
     return docs.withColumn(out, ids(F.coalesce(F.col(text), F.lit(""))))
 
@@ -240,11 +248,13 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
     """docs with the decoded text of a column of token ids."""
     spec = docs.sparkSession.sparkContext.broadcast(_spec(path))
 
-    @F.pandas_udf(T.StringType())
-    def decoded(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        e = encoder(spec.value)
-        for s in rows:
-            yield s.map(lambda x: e.decode(list(x)).decode("utf-8", "replace"))
+    @F.arrow_udf(T.StringType())
+    def decoded(rows: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        with freed():
+            e = Encoder(spec.value)
+            for column in rows:
+                yield pa.array([e.decode(x.values.to_numpy()).decode("utf-8", "replace") for x in column], pa.string())
+            del e
 
     return docs.withColumn(out, decoded(F.coalesce(F.col(ids), F.array().cast("array<int>"))))
 
@@ -253,15 +263,19 @@ def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of encoding and decoding; ids and texts stay in the workers."""
     spec = docs.sparkSession.sparkContext.broadcast(_spec(path))
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def digests(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        e = encoder(spec.value)
-        for s in texts:
-            rows = []
-            for t in s:
-                ids = e.encode(t)
-                rows.append((len(ids), hashlib.sha256(" ".join(map(e.numbers.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(e.decode(ids)).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digests(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        sha = lambda data: hashlib.sha256(data).hexdigest()
+        with freed():
+            e = Encoder(spec.value)
+            for column in texts:
+                rows = []
+                for t in column:
+                    ids = e.encode(t.as_py())
+                    rows.append((len(ids), sha(" ".join(map(e.numbers.__getitem__, ids)).encode()), sha(e.decode(ids))))
+                n, given, back = zip(*rows, strict=True) if rows else ((), (), ())
+                yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(given, pa.string()), pa.array(back, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
+            del e
 
     d = docs.select("doc_id", digests(F.coalesce(F.col(text), F.lit(""))).alias("d"))
     return d.select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")

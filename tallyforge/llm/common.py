@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,13 +30,14 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
+    """The folder named by spark.checkpoint.dir. Where a session names none, a temporary one if all runs in this process, else an error: hosts do not share such a folder."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="tallyforge-")
-        spark.conf.set("spark.checkpoint.dir", f"file://{named}")
-        spark.sparkContext.setCheckpointDir(f"file://{named}")
-        named = f"file://{named}"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='tallyforge-')}"
+        spark.conf.set("spark.checkpoint.dir", named)
+        spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
@@ -72,9 +77,9 @@ atexit.register(release)
 
 
 class _WordHashes(dict):
-    """word -> 64-bit hash, kept small."""
+    """word -> 64-bit hash; some 10 MB at most, cleared when a task ends."""
 
-    LIMIT = 1 << 19
+    LIMIT = 1 << 16
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -86,6 +91,29 @@ class _WordHashes(dict):
 _hashes = _WordHashes()
 
 
+@contextlib.contextmanager
+def freed() -> Iterator[None]:
+    """Around a task's loop in a Python worker, which outlives the task: what it has cached goes back to the system at the end."""
+    try:
+        yield
+    finally:
+        _hashes.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A worker's function, with `freed` around it."""
+
+    def released(it: Iterator) -> Iterator:
+        with freed():
+            yield from run(it)
+
+    return released
+
+
 def words(text: str | None) -> list[bytes]:
     """A-Z lower-cased, cut at the six ASCII white-space characters (bytes.split and bytes.lower mean exactly those)."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

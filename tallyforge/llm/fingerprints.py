@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, shingle_hashes
+from .common import freed, mix, releasing, shingle_hashes
 
 BINS, BITS = 512, 4
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -92,8 +92,9 @@ def fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint") -
 
     @F.pandas_udf("string")
     def made(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
-            yield s.map(lambda t: pack(sketch(t)))
+        with freed():
+            for s in texts:
+                yield s.map(lambda t: pack(sketch(t)))
 
     return docs.withColumn(out, made(F.coalesce(F.col(text), F.lit(""))))
 
@@ -133,6 +134,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
+    @releasing
     def rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = None  # span, doc_id, text, sketch, extra
         for pdf in it:

@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import freed, releasing
+
 DIM = 1 << 13
 SAMPLE = 400
 RIDGE = 0.05
@@ -110,6 +112,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, text: str = "text", lang: s
     if not chosen:
         return solve([], np.zeros((0, DIM)), np.zeros(0, int))
 
+    @releasing
     def rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             pdf = pdf[[bool(_LETTER.search(t)) for t in pdf["t"]]]
@@ -133,7 +136,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("lang string, score double, ambiguous boolean")
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in texts:
-            yield pd.DataFrame([sent.value.predict(t) for t in s], columns=["lang", "score", "ambiguous"])
+        with freed():
+            for s in texts:
+                yield pd.DataFrame([sent.value.predict(t) for t in s], columns=["lang", "score", "ambiguous"])
 
     return docs.withColumn("lang_id", predict(F.col(text)))

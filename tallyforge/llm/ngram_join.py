@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, components, keyed, mix, shingle_hashes, stage, tidy
+from .common import SHINGLE_WORDS, components, keyed, mix, releasing, shingle_hashes, stage, tidy
 
 COUNTER_BITS = 20
 CHUNK = 1 << 16
@@ -52,6 +52,7 @@ def _sizes(words: int):
     """First reading: key, n, digest of each document; the counters, cut in chunks, in rows of their own."""
     schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("chunk", pa.int32()), ("counts", pa.binary())])
 
+    @releasing
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << COUNTER_BITS, np.uint32)
         for batch in it:
@@ -76,6 +77,7 @@ def frequent_tokens(counts: DataFrame, total: int) -> np.ndarray:
     mean = total / (1 << COUNTER_BITS)
     least = mean + max(FEWEST, 6 * mean**0.5)
 
+    @releasing
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in it:
@@ -121,6 +123,7 @@ def signatures(h: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _signed(words: int, percent: int, frequent):
+    @releasing
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         bits = frequent.value
@@ -146,6 +149,7 @@ def _bloom(keys: DataFrame) -> np.ndarray:
     bit = F.pmod(F.xxhash64("key"), F.lit(1 << BLOOM_BITS))
     bits = keys.select(bit.alias("bit")).distinct().withColumn("chunk", F.shiftright("bit", 16).cast("int")).withColumn("bit", F.col("bit").bitwiseAND(0xFFFF).cast("int"))
 
+    @releasing
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, np.ndarray] = {}
         for batch in it:
@@ -161,6 +165,7 @@ def _bloom(keys: DataFrame) -> np.ndarray:
 
 
 def _sets(words: int, bloom, short: bool):
+    @releasing
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bloom.value
         for batch in it:
@@ -206,6 +211,7 @@ def _candidates(percent: int, star: bool):
         none = np.empty(0, np.int64)
         return np.concatenate([none, *a]), np.concatenate([none, *b])
 
+    @releasing
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         here, a_out, b_out, size = None, [], [], 0
@@ -238,6 +244,7 @@ def _candidates(percent: int, star: bool):
 def _judge(percent: int):
     """Pairs of a centre, which comes first, and those after it that reach the similarity."""
 
+    @releasing
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         star, centre = None, None
         for batch in it:

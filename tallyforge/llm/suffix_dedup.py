@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed, mix, stage
+from .common import keyed, mix, releasing, stage
 
 LENGTH = 100
 GRAM = 32
@@ -106,6 +106,7 @@ def _collapse(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
 
 
 def _slices(length: int):
+    @releasing
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         pieces, keys, offsets, size = [], [], [], 0
@@ -142,6 +143,7 @@ def _slices(length: int):
 
 
 def _fetch(length: int):
+    @releasing
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             out: dict[str, list] = {"a": [], "key": [], "start": [], "bytes": []}
@@ -210,6 +212,7 @@ def _judge(length: int):
         first, final = start[number[new]] + offset[new], start[number[last]] + offset[last] + length
         return pa.RecordBatch.from_arrays([pa.array(key[number[new]]), pa.array(first), pa.array(final)], schema=_SPANS)
 
+    @releasing
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, bytes]] = []
         size = 0
@@ -246,6 +249,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def _cut(with_bytes: bool):
+    @releasing
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             out = []

@@ -36,7 +36,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_dir, stage
+from .common import new_dir, releasing, stage
 
 SEGMENT = 16 << 20
 MIN_REVISIT = 100
@@ -221,6 +221,7 @@ def write_archives(pages: DataFrame, segment: int = SEGMENT) -> DataFrame:
     p = p.select("page_id", "url", "payload", "digest", "refers_to")
     folder = new_dir(spark, "warc")
 
+    @releasing
     def write(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = fs.FileSystem.from_uri(folder)
         system.create_dir(root, recursive=True)
@@ -247,6 +248,7 @@ def write_archives(pages: DataFrame, segment: int = SEGMENT) -> DataFrame:
 def read_archives(manifest: DataFrame, payload: bool = False) -> DataFrame:
     """Rows of RECORDS for the files of a manifest: records have no fault, gaps have one and no record_type."""
 
+    @releasing
     def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for path in batch.column("path").to_pylist():
