@@ -28,11 +28,12 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import freed
+from .common import freed, small_batches
 
 #: Unicode White_Space: what \s means in tokenizer files (Python's also takes U+001C to U+001F).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -220,14 +221,15 @@ class Encoder:
         return bytes(back[c] for c in self.blob[take].tobytes().decode())
 
 
-def _spec(path: str) -> bytes:
+def _spec(spark: SparkSession, path: str) -> Broadcast:
+    small_batches(spark)
     with open(path, "rb") as f:
-        return f.read()
+        return spark.sparkContext.broadcast(f.read())
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """docs with a column of token ids."""
-    spec = docs.sparkSession.sparkContext.broadcast(_spec(path))
+    spec = _spec(docs.sparkSession, path)
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def ids(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -246,7 +248,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """docs with the decoded text of a column of token ids."""
-    spec = docs.sparkSession.sparkContext.broadcast(_spec(path))
+    spec = _spec(docs.sparkSession, path)
 
     @F.arrow_udf(T.StringType())
     def decoded(rows: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -261,7 +263,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
 
 def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of encoding and decoding; ids and texts stay in the workers."""
-    spec = docs.sparkSession.sparkContext.broadcast(_spec(path))
+    spec = _spec(docs.sparkSession, path)
 
     @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digests(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:

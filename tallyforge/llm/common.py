@@ -22,10 +22,20 @@ SHINGLE_WORDS = 5
 #: One odd multiplier per word of a shingle, and one seed for sequences shorter than a shingle.
 _WEIGHTS = [np.uint64(x * 2 + 1) for x in (0x4F1BBCDCBFA53E0B, 0x1D8E4E27C47D124F, 0x62A9D9ED799705F5, 0x23EB4C1F3A9D5B67, 0x5851F42D4C957F2D)]
 _SHORT = np.uint64(0x9E3779B97F4A7C15)
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 _staged: list[tuple[SparkSession, str]] = []
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows and BATCH_BYTES bytes at most, which bounds what a Python worker holds at a time. Smaller settings of the session stay."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}").rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -179,6 +189,7 @@ def batches(it: Iterator, text: str) -> Iterator:
 
 def keyed(docs: DataFrame, text: str = "text") -> tuple[DataFrame, bool]:
     """docs with _key, a long that is unique and in doc_id order (null last, equal ones by text); whether it is doc_id itself."""
+    small_batches(docs.sparkSession)
     repeats = docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count()
     if not repeats:
         return docs.withColumn("_key", F.col("doc_id").cast("long")), True

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import freed, releasing
+from .common import freed, releasing, small_batches
 
 DIM = 1 << 13
 SAMPLE = 400
@@ -132,6 +132,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with a struct column lang_id: lang, score, ambiguous."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double, ambiguous boolean")
@@ -140,4 +141,5 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             for s in texts:
                 yield pd.DataFrame([sent.value.predict(t) for t in s], columns=["lang", "score", "ambiguous"])
 
-    return docs.withColumn("lang_id", predict(F.col(text)))
+    # as if it had side effects: else a filter on the result would have every text predicted twice
+    return docs.withColumn("lang_id", predict.asNondeterministic()(F.col(text)))

@@ -1,20 +1,24 @@
 """Format-preserving pseudonyms for personal data, by Feistel networks; DataFrame functions only.
 
-Found and checked: card numbers (13 to 19 digits, or four groups of four, with a right Luhn digit), IPv4 addresses
-(octets up to 255), phone numbers with an area code in brackets or in the form 123-456-7890, dates of the years
-1900 to 2299 that exist (2024-01-31, 31.01.2024, 01/31/2024, or 31/01/2024 where that alone exists), e-mail
-addresses, and values of 16 or more characters, however long, that are assigned to a token, key, secret or password. What fails its
-check stays as it is.
+Found and checked: card numbers (13 to 19 digits, four groups of four, or groups of four, six and five, with a right
+Luhn digit), IBANs (in one piece or in groups of four, with the right remainder of 97), IPv4 addresses (octets up to
+255), phone numbers with an area code in brackets or in the form 123-456-7890, social security numbers in the form
+123-45-6789 (no part all zeros, no area 666 or from 900), dates of the years 1900 to 2299 that exist (2024-01-31,
+31.01.2024, 01/31/2024, or 31/01/2024 where that alone exists), e-mail addresses, and values of 16 or more characters,
+however long, that are assigned to a token, key, secret or password. What fails its check stays as it is.
 
 Each is permuted by a keyed Feistel network within its format: digits stay digits and letters letters of their case,
-separators stay in place, card numbers get a right Luhn digit, octets stay octets and dates dates. The network is a
-bijection, so different values have different pseudonyms; it depends on the value and the key alone, so equal values
-stay linked in all documents, cards also when they are written with other separators. Dates are numbered within the
-400 years, a domain of 189 x 773 days, which the network's halves fit exactly; no value needs a second try. E-mail
-addresses keep their domain, phone numbers their country code.
-
-Cases: null text stays null. Texts of any length are read whole; the pattern has no unbounded backtracking. Nothing
-depends on other rows, so repeated rows, ties and empty tables need no rule. Extra columns stay.
+separators stay in place, card numbers get a right Luhn digit and IBANs right check digits, octets stay octets and
+dates dates. The network is a bijection, so different values have different pseudonyms; it depends on the value and
+the key alone, so equal values stay linked in all documents, cards and IBANs also when they are written with other
+separators. Dates are numbered within the 400 years, a domain of 189 x 773 days, which the network's halves fit
+exactly; no value needs a second try. E-mail addresses keep their domain, phone numbers their country code, IBANs
+their country.
+
+Cases: null text stays null. Texts of any length are read whole; a pattern's groups repeat a bounded number of times
+(a host name has 127 labels at most), so no text exhausts the matcher. Nothing depends on other rows, so repeated rows,
+ties and empty tables need no rule. Extra columns stay, whatever their names; one named like a result (n_<kind>) is
+replaced by it.
 """
 
 from __future__ import annotations
@@ -30,11 +34,13 @@ LONG = 256
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Kind -> pattern; the first kind that matches at a place has it.
 PATTERNS = {
-    "email": "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\\.)+(?:[A-Za-z]{2,}+|(?i:xn--)[A-Za-z0-9-]++)(?![A-Za-z0-9-])",
+    "email": "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\\.){1,127}(?:[A-Za-z]{2,}+|(?i:xn--)[A-Za-z0-9-]++)(?![A-Za-z0-9-])",
     "secret": "(?i:\\b(?:token|secret|password|api[_-]?key|access[_-]?key)\\s{0,3}[=:]\\s{0,3}[\"']?[A-Za-z0-9+/_-]{16,}+)",
     "ip": f"(?<![0-9.]){_OCTET}(?:\\.{_OCTET}){{3}}(?![0-9]|\\.[0-9])",
-    "card": "(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3})(?![0-9])",
+    "iban": "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
+    "card": "(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5})(?![0-9])",
     "phone": "(?:(?<![0-9])\\+[0-9]{1,3} )?\\([0-9]{3}\\) [0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
+    "ssn": "(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
     "date": "(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\\.[0-9]{2}\\.[0-9]{4})(?![0-9])",
 }
 PATTERN = "|".join(PATTERNS.values())
@@ -111,14 +117,29 @@ def _digit_sum(digits: Column, doubled: int) -> Column:
     return let(digits, total)
 
 
-def _refill(form: Column, digits: Column) -> Column:
-    """form with its digits replaced, in order, by digits."""
+def _remainder(s: Column) -> Column:
+    """Of 97: s read as a number, in which A to Z stand for 10 to 35."""
+
+    def step(r: Column, c: Column) -> Column:
+        value = F.ascii(c) - F.when(c.between("0", "9"), 48).otherwise(55)
+        return F.when(value < 10, (r * 10 + value) % 97).otherwise((r * 100 + value) % 97).cast("int")
+
+    return F.aggregate(F.split(s, ""), F.lit(0), step)
+
+
+def _iban_holds(m: Column) -> Column:
+    plain = F.replace(m, F.lit(" "), F.lit(""))
+    return let(plain, lambda p: (F.length(p) >= 15) & (F.length(p) <= 34) & (_remainder(F.concat(F.substring(p, 5, 34), F.substring(p, 1, 4))) == 1))
+
+
+def _refill(form: Column, digits: Column, wanted: tuple[str, str] = ("0", "9")) -> Column:
+    """form with its digits (or what lies between the characters wanted) replaced, in order, by digits."""
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("next"))
 
     def filled(digits: Column) -> Column:
         def step(x: Column, k: Column) -> Column:
             c = F.substring(form, k, F.lit(1))
-            number = c.between("0", "9")
+            number = c.between(*wanted)
             return F.struct(F.concat(x["out"], F.when(number, F.substring(digits, x["next"], F.lit(1))).otherwise(c)).alias("out"), F.when(number, x["next"] + 1).otherwise(x["next"]).alias("next"))
 
         return F.aggregate(F.sequence(F.lit(1), F.length(form)), start, step, lambda x: x["out"])
@@ -135,6 +156,25 @@ def _card(m: Column, key: str) -> Column:
     return _refill(m, let(body, lambda b: F.concat(b, ((10 - _digit_sum(b, 0) % 10) % 10).cast("string"))))
 
 
+def _iban(m: Column, key: str) -> Column:
+    def remade(p: Column, body: Column) -> Column:
+        check = F.lpad((98 - _remainder(F.concat(body, F.substring(p, 1, 2), F.lit("00")))).cast("string"), 2, "0")
+        return F.concat(F.substring(p, 1, 2), check, body)
+
+    plain = F.replace(m, F.lit(" "), F.lit(""))
+    new = let(plain, lambda p: let(feistel_string(F.substring(p, 5, 34), key, "iban"), lambda body: remade(p, body)))
+    return _refill(m, new, ("0", "Z"))
+
+
+def _ssn(m: Column, key: str) -> Column:
+    """Areas 1 to 899 without 666, groups 1 to 99 and serials 1 to 9999, numbered without gaps."""
+    area = F.substring(m, 1, 3).cast("long")
+    rest = (F.substring(m, 5, 2).cast("long") - 1) * 9999 + F.substring(m, 8, 4).cast("long") - 1
+    p = feistel_number(area - F.when(area > 666, 2).otherwise(1), rest, (898, 99 * 9999), key, "ssn")
+    two = lambda n, width: F.lpad(n.cast("string"), width, "0")
+    return let(p, lambda x: F.concat_ws("-", two(x["l"] + F.when(x["l"] >= 665, 2).otherwise(1), 3), two(F.floor(x["r"] / 9999) + 1, 2), two(x["r"] % 9999 + 1, 4)))
+
+
 def _ip(m: Column, key: str) -> Column:
     octets = F.transform(F.split(m, "\\."), lambda x: x.cast("long"))
     p = let(octets, lambda o: feistel_number(F.get(o, 0) * 256 + F.get(o, 1), F.get(o, 2) * 256 + F.get(o, 3), (65536, 65536), key, "ip"))
@@ -181,18 +221,21 @@ def _secret(m: Column, key: str) -> Column:
 def kind_of(m: Column) -> Column:
     """The kind of a match whose check holds, else null."""
     whole = lambda k: m.rlike(f"^(?:{PATTERNS[k]})$")
-    kind = F.when(m.contains("@"), "email").when(whole("secret"), "secret").when(whole("ip"), "ip").when(whole("card"), F.when(_digit_sum(_only_digits(m), 1) % 10 == 0, "card")).when(whole("phone"), "phone")
+    kind = F.when(m.contains("@"), "email").when(whole("secret"), "secret").when(whole("ip"), "ip").when(whole("iban"), F.when(_iban_holds(m), "iban"))
+    kind = kind.when(whole("card"), F.when(_digit_sum(_only_digits(m), 1) % 10 == 0, "card")).when(whole("phone"), "phone").when(whole("ssn"), "ssn")
     return kind.when(whole("date"), F.when(_day(m).isNotNull(), "date"))
 
 
-MASKS = {"email": _email, "secret": _secret, "ip": _ip, "card": _card, "phone": _phone, "date": _date}
+MASKS = {"email": _email, "secret": _secret, "ip": _ip, "iban": _iban, "card": _card, "phone": _phone, "ssn": _ssn, "date": _date}
 
 
 def pseudonyms(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """docs with its personal data replaced in text, and n_<kind>, the number of each kind that was replaced."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
-    # exploding an array of one keeps the optimizer from computing the matches anew for every use
-    d = docs.select("*", F.explode(F.array(F.coalesce(found, F.array().cast("array<struct<m:string,kind:string>>")))).alias("_found"))
+    found = F.transform(F.regexp_extract_all(f"`{text}`", F.lit(PATTERN), F.lit(0)), lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
+    # the columns of docs travel as one, so that none clashes with those used here; exploding an array of one keeps the
+    # optimizer from computing the matches anew for every use
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest")
+    d = docs.select(rest, F.col(f"`{text}`").alias("text"), F.explode(F.array(F.coalesce(found, F.array().cast("array<struct<m:string,kind:string>>")))).alias("found"))
 
     def masked(x: Column) -> Column:
         out = None
@@ -200,11 +243,10 @@ def pseudonyms(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
             out = (F if out is None else out).when(x["kind"] == kind, mask(x["m"], key))
         return out.otherwise(x["m"])
 
-    new = F.array_append(F.transform("_found", masked), F.lit(""))
-    parts = F.zip_with(F.split(text, PATTERN, -1), new, lambda a, b: F.array(a, b))
-    of_kind = lambda k: F.size(F.filter("_found", lambda x: x["kind"] == k))
-    counts = [of_kind(k).cast("long").alias(f"n_{k}") for k in MASKS]
-    kept = [c for c in docs.columns if c != text]
-    changed = F.exists("_found", lambda x: x["kind"].isNotNull())
-    d = d.select(*kept, F.when(changed, F.array_join(F.flatten(parts), "")).otherwise(F.col(text)).alias(text), *counts)
-    return d.select(*docs.columns, *[f"n_{k}" for k in MASKS])
+    new = F.array_append(F.transform("found", masked), F.lit(""))
+    parts = F.zip_with(F.split("text", PATTERN, -1), new, lambda a, b: F.array(a, b))
+    of_kind = lambda k: F.size(F.filter("found", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    changed = F.exists("found", lambda x: x["kind"].isNotNull())
+    masked_text = F.when(changed, F.array_join(F.flatten(parts), "")).otherwise(F.col("text"))
+    own = [c for c in docs.columns if c not in {f"n_{k}" for k in MASKS}]
+    return d.select(*[masked_text.alias(c) if c == text else F.col("rest").getField(c).alias(c) for c in own], *map(of_kind, MASKS))

@@ -1,8 +1,10 @@
 """Each operator against a brute-force version or an exact round trip, with nulls, empty and long texts, ties, repeats, no rows and extra columns."""
 
 import base64
+import datetime
 import hashlib
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -410,3 +412,123 @@ def test_hilbert_visits_neighbours():
     place = ann.hilbert(grid, 3)
     path = grid[np.argsort(place)]
     assert sorted(place) == list(range(512)) and (np.abs(np.diff(path, axis=0)).sum(1) == 1).all()
+
+
+class Plain:
+    """Pseudonyms in plain Python, forwards and backwards, from the description of the network."""
+
+    def __init__(self, key, back=False):
+        self.key, self.rounds, self.sign = key, range(7, -1, -1) if back else range(8), -1 if back else 1
+
+    def number(self, *parts):
+        return int(hashlib.sha256(":".join(map(str, (self.key, *parts))).encode()).hexdigest()[:10], 16)
+
+    def pair(self, x, y, sizes, kind):
+        for i in self.rounds:
+            if i % 2 == 0:
+                x = (x + self.sign * self.number(kind, i, y)) % sizes[0]
+            else:
+                y = (y + self.sign * self.number(kind, i, x)) % sizes[1]
+        return x, y
+
+    def string(self, s, kind, hexadecimal=False):
+        kinds = ("0123456789", "abcdef" if hexadecimal else "abcdefghijklmnopqrstuvwxyz", "ABCDEF" if hexadecimal else "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+        half = [s[: len(s) // 2], s[len(s) // 2 :]]
+        for i in self.rounds:
+            part, other = half[i % 2], half[1 - i % 2]
+            other = hashlib.sha256(other.encode()).hexdigest() if len(other) > 256 else other
+            out = ""
+            for k, c in enumerate(part, 1):
+                a = next((a for a in kinds if c in a), c)
+                out += a[(a.index(c) + self.sign * self.number(kind, i, k, other)) % len(a)]
+            half[i % 2] = out
+        return "".join(half)
+
+    def refill(self, form, new):
+        new = iter(new)
+        return "".join(next(new) if c.isalnum() else c for c in form)
+
+    def card(self, m):
+        body = self.string(re.sub(r"\D", "", m)[:-1], "card")
+        return self.refill(m, body + next(c for c in "0123456789" if luhn(body + c)))
+
+    def iban(self, m):
+        p = m.replace(" ", "")
+        body = self.string(p[4:], "iban")
+        n = int("".join(str(int(c, 36)) for c in body + p[:2] + "00"))
+        return self.refill(m, f"{p[:2]}{98 - n % 97:02d}{body}")
+
+    def ssn(self, m):
+        a, g, s = map(int, m.split("-"))
+        areas = [x for x in range(1, 900) if x != 666]
+        x, y = self.pair(areas.index(a), (g - 1) * 9999 + s - 1, (898, 99 * 9999), "ssn")
+        return f"{areas[x]:03d}-{y // 9999 + 1:02d}-{y % 9999 + 1:04d}"
+
+    def ip(self, m):
+        o = list(map(int, m.split(".")))
+        x, y = self.pair(o[0] * 256 + o[1], o[2] * 256 + o[3], (65536, 65536), "ip")
+        return f"{x // 256}.{x % 256}.{y // 256}.{y % 256}"
+
+    def date(self, m):
+        form = "%Y-%m-%d" if "-" in m else "%d.%m.%Y" if "." in m else "%m/%d/%Y"
+        first = datetime.date(1900, 1, 1)
+        n = (datetime.datetime.strptime(m, form).date() - first).days
+        x, y = self.pair(n // 773, n % 773, (189, 773), "date")
+        return (first + datetime.timedelta(x * 773 + y)).strftime(form)
+
+    def email(self, m):
+        local, _, host = m.partition("@")
+        return f"{self.string(local, 'email')}@{host}"
+
+    def phone(self, m):
+        local = re.search(r"\(?[0-9]{3}\)?[ -][0-9]{3}-[0-9]{4}$", m)[0]
+        return m.removesuffix(local) + self.refill(local, self.string(re.sub(r"\D", "", local), "phone"))
+
+    def secret(self, m):
+        return self.string(m, "secret", bool(re.fullmatch("[0-9a-f]{16,}|[0-9A-F]{16,}", m)))
+
+
+def sample_of(kind, rng):
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    if kind == "card":
+        body = digits(rng.choice([14, 15]))
+        whole = body + next(c for c in "0123456789" if luhn(body + c))
+        return f"{whole[:4]} {whole[4:10]} {whole[10:]}" if len(whole) == 15 else rng.choice([whole, "-".join(whole[i : i + 4] for i in (0, 4, 8, 12))])
+    if kind == "iban":
+        country, body = rng.choice(["DE", "GB", "FR"]), digits(4) + "".join(rng.choice("ABCXYZ0123456789") for _ in range(rng.randint(10, 20)))
+        whole = f"{country}{98 - int(''.join(str(int(c, 36)) for c in body + country + '00')) % 97:02d}{body}"
+        return whole if rng.random() < 0.5 or len(whole) % 4 else " ".join(whole[i : i + 4] for i in range(0, len(whole), 4))
+    if kind == "ssn":
+        return f"{rng.choice([1, 665, 667, 899, 123]):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}"
+    if kind == "ip":
+        return ".".join(str(rng.randint(0, 255)) for _ in range(4))
+    if kind == "date":
+        day = datetime.date(1900, 1, 1) + datetime.timedelta(rng.randrange(146097))
+        return day.strftime(rng.choice(["%Y-%m-%d", "%d.%m.%Y", "%m/%d/%Y"]))
+    if kind == "email":
+        return "".join(rng.choice("abcXYZ019._") for _ in range(rng.randint(1, 9))) + "@mail.example.org"
+    if kind == "phone":
+        return rng.choice([f"+{rng.randint(1, 99)} ({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}"])
+    return "".join(rng.choice(rng.choice(["0123456789abcdef", "abcXYZ012+/_-"])) for _ in range(rng.choice([16, 40, 700])))
+
+
+def test_pii_against_a_plain_version_and_back(spark):
+    rng = random.Random(11)
+    rows = [(i, kind, sample_of(kind, rng)) for i, kind in enumerate(list(pii.MASKS) * 12)]
+    d = spark.createDataFrame(rows, "doc_id long, kind string, value string")
+    d = d.withColumn("text", F.concat(F.when(F.col("kind") == "secret", "x token=").otherwise("x "), "value", F.lit(" y")))
+    forward, back = Plain("k"), Plain("k", back=True)
+    for r in pii.pseudonyms(d, "k").collect():
+        new = r.text.removeprefix("x token=").removeprefix("x ").removesuffix(" y")
+        assert (r.kind, new) == (r.kind, getattr(forward, r.kind)(r.value))
+        assert getattr(back, r.kind)(new) == r.value
+        assert {k: r[f"n_{k}"] for k in pii.MASKS} == {k: int(k == r.kind) for k in pii.MASKS}
+
+
+def test_pii_of_hostile_texts_and_clashing_columns(spark):
+    texts = ["x@" + "b." * 500_000, "x@" + "bb." * 300_000 + "com", "1" * 1_000_000, "a@" * 300_000, "1-" * 400_000, "GB" + "12 " * 300_000, "token=" * 150_000, "(123) " * 150_000, "GB82 WEST 1234 5698 7654 33", "000-12-3456 666-12-3456 900-12-3456 123-00-4567"]
+    d = spark.createDataFrame([(i, t, 5, 6, 7) for i, t in enumerate(texts)], ["doc_id", "text", "n_card", "found", "a.b"])
+    got = sorted(pii.pseudonyms(d, "k").collect(), key=lambda r: r.doc_id)
+    assert [len(r.text) for r in got] == [len(t) for t in texts] and [r["a.b"] for r in got] == [7] * len(texts) and {r.found for r in got} == {6}
+    assert [r.text for r in got if r.doc_id != 1] == [t for i, t in enumerate(texts) if i != 1] and got[1].n_email == 1 and not got[1].text.startswith("x@")
+    assert got[0].__fields__.count("n_card") == 1 and {r.n_card for r in got} == {0}
