@@ -1,4 +1,4 @@
-"""Source programs (T1-T4, T9, T11-T15, T20): one function of integer parameters, with annotation comments, in a small C.
+"""Source programs (T1-T15, T20, T21, C8, C11): one function of integer parameters, with annotation comments, in a small C.
 
 Sources are scanned once into regions (code, comment, annotation, literal); all else works on the code with the rest
 blanked, so that positions stay those of the source. Functions here are plain Python for use inside Arrow functions.
@@ -7,14 +7,34 @@ blanked, so that positions stay those of the source. Functions here are plain Py
 from __future__ import annotations
 
 import hashlib
+import itertools
+import json
 import re
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 WORD = re.compile(r"[A-Za-z_]\w*")
 TYPES = r"(?:(?:unsigned|signed|const|static|long|short)\s+)*(?:int|char|long|short|unsigned|_Bool|bool)"
 UNSUPPORTED = re.compile(r"\b(?:float|double)\b|\b" + TYPES + r"\s*\*|\b" + TYPES + r"\s+\w+\s*\[")
-LEVELS = ("exact", "near", "alpha", "constants", "shape", "ordered", "profile")
-NONDET = re.compile(r"^(?:unknown\w*|__VERIFIER_nondet_\w+|nondet\w*)$")
+#: Fixed values. Representations of a program, from the text itself to its coarsest profile; the last three say relation, not copying.
+LEVELS = ("exact", "alpha", "alpha_const", "alpha_const_loop", "skeleton_ops", "skeleton", "coarse")
+#: Fixed values. Operators of several characters that are one token, and the words that are no identifiers.
+LONG_MARKS = ("<==>", "==>", "==", "!=", "<=", ">=", "&&", "||", "<<", ">>", "++", "--", "->")
+KEYWORDS = frozenset(
+    "_Bool auto break case char const continue default do double else enum extern float for goto if inline int long register requires restrict return short signed sizeof static struct "
+    "switch typedef union unsigned void volatile while".split()
+)
+#: Words of the small C that are no variables.
+KEEP = {"if", "else", "while", "for", "do", "return", "break", "continue", "int", "void", "unsigned", "long", "short", "char", "const"}
+#: Fixed values. The words that a family digest leaves as they are.
+FAMILY_KEYWORDS = frozenset("int void long short unsigned signed char const return while if else for do break continue sizeof requires assume assert".split())
+#: Fixed values. Operators that a skeleton lists, words followed by a condition, and the other words and marks it keeps.
+CONDITION_MARKS = frozenset(("<", ">", "<=", ">=", "==", "!=", "&&", "||", "!"))
+CONDITIONAL, CONTROL = frozenset(("if", "while", "for", "switch")), frozenset(("else", "break", "continue", "return", "goto", "{", "}"))
+TOKEN = re.compile("|".join([*map(re.escape, LONG_MARKS), r"[A-Za-z_]\w*", r"0[xX][0-9A-Fa-f]+", r"\d+", r"\S"]))
+NUMBER = re.compile(r"0[xX][0-9A-Fa-f]+|\d+")
+NONDET = re.compile(r"(?:unknown|nondet)\d*|__VERIFIER_nondet_\w*")
+PRODUCT = re.compile(r"([A-Za-z_]\w*)\s*\*\s*([A-Za-z_]\w*)")
 
 
 def regions(source: str) -> list[tuple[str, int, int]]:
@@ -210,76 +230,280 @@ def modified_vars(body: str) -> list[str]:
 
 
 def while_form(source: str) -> str:
-    """While (1) { if (C) break; ... } becomes while (!(C)) { ... }."""
-    out = source
-    while True:
-        m = re.search(r"\bwhile\s*\(\s*(?:1|true)\s*\)\s*\{\s*if\s*(\()", out)
-        if not m or (end := matching(out, m.start(1))) < 0:
-            return out
-        stop = re.match(r"\s*(?:\{\s*break\s*;\s*\}|break\s*;)", out[end + 1 :])
-        if not stop:
-            return out
-        out = f"{out[: m.start()]}while (!({out[m.end() : end].strip()})) {{{out[end + 1 + stop.end() :]}"
-
-
-TOKEN = re.compile(r"[A-Za-z_]\w*|\d+|==|!=|<=|>=|&&|\|\||<<|>>|\+\+|--|[-+*/%]=|[^\s\w]")
-KEEP = {"if", "else", "while", "for", "do", "return", "break", "continue", "int", "void", "unsigned", "long", "short", "char", "const"}
+    """While (1) { if (C) break; ... } becomes while (!(C)) { ... }, while (1) { if (!(G)) break; ... } while (G) { ... }.
+
+    The first such loop alone. One with an else to its exit test, or with another break, stays as it is.
+    """
+    loop = re.search(r"\bwhile\s*\(\s*(?:1|true)\s*\)\s*(\{)\s*if\s*(\()", source)
+    if not loop:
+        return source
+    close, shut = matching(source, loop.start(1)), matching(source, loop.start(2))
+    if not 0 <= shut < close:
+        return source
+    leave = re.compile(r"\s*(?:break\s*;|\{\s*break\s*;\s*\})").match(source, shut + 1, close)
+    if not leave or re.search(r"^\s*else\b|\bbreak\b", source[leave.end() : close]):
+        return source
+    condition = source[loop.end() : shut].strip()
+    inner = re.match(r"!\s*(\()", condition)
+    guard = condition[inner.end() : -1].strip() if inner and matching(condition, inner.start(1)) == len(condition) - 1 else f"!({condition})"
+    return f"{source[: loop.start()]}while ({guard}) {{{source[leave.end() :]}"
+
+
+def uncommented(source: str) -> str:
+    """T5: the source without comments; of an annotation block its requires clauses stay."""
+
+    def shown(kind: str, text: str) -> str:
+        if kind in ("code", "literal"):
+            return text
+        clauses = re.findall(r"\brequires\b\s*([^;]*);", text) if text.startswith("/*@") else []
+        return " ".join(f"requires {c};" for c in clauses) or " "
+
+    return "".join(shown(k, source[a:b]) for k, a, b in regions(source))
 
 
-def alpha(tokens: list[str], numbers: bool) -> list[str]:
+def tokens(source: str) -> list[str]:
+    """T5."""
+    return TOKEN.findall(uncommented(source))
+
+
+def is_name(token: str) -> bool:
+    return bool(WORD.fullmatch(token)) and token not in KEYWORDS and not NONDET.fullmatch(token)
+
+
+def near_exact(source: str) -> list[str]:
+    """Tokens without the target; the first name that is called or defined, the function's own, reads FUNC."""
+    t = tokens(strip_target(source))
+    at = next((i for i, (x, y) in enumerate(zip(t, t[1:], strict=False)) if y == "(" and is_name(x)), None)
+    return t if at is None else [*t[:at], "FUNC", *t[at + 1 :]]
+
+
+def alpha(tokens: list[str], numbers: bool, keywords: frozenset[str] = KEYWORDS, plain: Callable[[str], bool] | None = None) -> list[str]:
+    """Names become v0, v1, ... as they first appear, unknown calls NONDET, and with `numbers` all but 0 and 1 NUM."""
+    plain = plain or (lambda x: int(x, 16 if x[:2] in ("0x", "0X") else 10) in (0, 1))
     names: dict[str, str] = {}
-    out = []
-    for t in tokens:
-        if NONDET.match(t):
-            out.append("NONDET")
-        elif WORD.fullmatch(t) and t not in KEEP:
-            out.append(names.setdefault(t, f"v{len(names)}"))
-        else:
-            out.append("NUM" if numbers and t.isdigit() and t not in ("0", "1") else t)
+
+    def one(t: str) -> str:
+        if NONDET.fullmatch(t):
+            return "NONDET"
+        if WORD.fullmatch(t) and t not in keywords:
+            return names.setdefault(t, f"v{len(names)}")
+        return "NUM" if numbers and NUMBER.fullmatch(t) and not plain(t) else t
+
+    return [one(t) for t in tokens]
+
+
+def family(source: str, numbers: bool = False) -> str:
+    """Digest of a program up to names (and numbers), with its contract and all else kept."""
+    kept = alpha(TOKEN.findall(source), numbers, FAMILY_KEYWORDS, lambda x: x in ("0", "1"))
+    return hashlib.sha256(" ".join(kept).encode()).hexdigest()
+
+
+def first_loop(source: str) -> tuple[str, str]:
+    """Guard and body of the first while loop of the source without target and comments; no guard and the whole without one."""
+    s = uncommented(strip_target(source))
+    if not (m := re.search(r"\bwhile\s*(\()", s)):
+        return "", s
+    shut = _closing(s, m.start(1))
+    opened = s.find("{", shut)
+    return s[m.end() : shut], s[shut + 1 :] if opened < 0 else s[opened + 1 : _closing(s, opened)]
+
+
+def _closing(text: str, at: int) -> int:
+    """Where the bracket at `at` closes; the last place if it does not."""
+    end = matching(text, at)
+    return len(text) - 1 if end < 0 else end
+
+
+def conditions(source: str, word: str) -> list[str]:
+    """What stands in brackets after each `word`."""
+    return [source[m.end() : _closing(source, m.start(1))] for m in re.finditer(rf"\b{word}\s*(\()", source)]
+
+
+def skeleton(source: str, operators: bool) -> list[str]:
+    """The first loop's body as its control words and braces, STMT for any other statements in a row; with
+    `operators`, those of each condition follow its word, NO_CONDITION_OP if it has none."""
+    t, out, at = TOKEN.findall(first_loop(source)[1]), [], 0
+    while at < len(t):
+        word, skip = t[at], 1
+        if word in CONDITIONAL and t[at + 1 : at + 2] == ["("]:
+            depth = list(itertools.accumulate((x == "(") - (x == ")") for x in t[at + 1 :]))
+            length = depth.index(0) if 0 in depth else len(depth)
+            out.append(word)
+            if operators:
+                out += [x for x in t[at + 2 : at + 1 + length] if x in CONDITION_MARKS] or ["NO_CONDITION_OP"]
+            skip = length + 2
+        elif word in CONTROL:
+            out.append(word)
+        elif word == ";" and out[-1:] != ["STMT"]:
+            out.append("STMT")
+        at += skip
     return out
 
 
-def control_skeleton(tokens: list[str]) -> list[str]:
-    """Control words, braces and the operators of conditions, in order."""
-    return [t for t in tokens if t in ("if", "else", "while", "for", "do", "break", "continue", "return", "{", "}", "<", "<=", ">", ">=", "==", "!=", "&&", "||")]
+def coarse_profile(source: str, cap: int = 3) -> tuple:
+    """Kind of guard; counts, capped, of ifs, elses and conditions with && or ||; and which of break, continue, return, goto and inner loops the body has."""
+    guard, body = first_loop(source)
+    has = lambda words: bool(re.search(rf"\b(?:{words})\b", body))
+    count = lambda n: min(cap, n)
+    compound = sum("&&" in c or "||" in c for c in [guard, *conditions(body, "if")])
+    kind = "constant" if guard.strip() in ("0", "1") else "expression"
+    jumps = [has(w) for w in ("break", "continue", "return", "goto")]
+    return (kind, count(len(re.findall(r"\bif\b", body))), count(len(re.findall(r"\belse\b", body))), count(compound), *jumps, has("while|for"))
+
+
+def products(code: str) -> list[tuple[str, str]]:
+    """Pairs of names that are multiplied."""
+    return [p for p in PRODUCT.findall(code) if not KEYWORDS.intersection(p)]
+
+
+def update_kinds(body: str) -> list[str]:
+    """How the statements of a body change variables."""
+    kinds = set()
+    if re.search(r"\b\w+\s*(?:\+\+|--)|(?:\+\+|--)\s*\w|\b\w+\s*[-+]=\s*\d+\s*;", body):
+        kinds.add("increment")
+    if re.search(r"\b\w+\s*[-+*/%]=\s*[A-Za-z_(]", body):
+        kinds.add("compound")
+    for name, value in re.findall(r"\b(\w+)\s*=(?!=)\s*([^;]+);", body):
+        others = set(filter(is_name, tokens(value))) - {name}
+        kinds.add("product" if products(value) else "linear_mix" if others else "increment")
+    return sorted(kinds)
+
+
+def structural_features(source: str) -> dict[str, object]:
+    """Sixteen features of a program's variables, first loop and contract; counts are capped."""
+    hidden = strip_target(source)
+    guard, body = first_loop(source)
+    guard_tokens, body_tokens = tokens(guard), tokens(body)
+    guard_names = set(filter(is_name, guard_tokens))
+    try:
+        p = parse_program(hidden)
+        variables, params, requires, loops = p.pre_vars, p.params, bool(p.requires.strip()), len(p.loops)
+    except ValueError:  # what tokens alone tell
+        variables, params, requires, loops = sorted(set(filter(is_name, tokens(hidden)))), [], "requires" in hidden, len(re.findall(r"\b(?:while|for)\s*\(", hidden))
+    changed = [v for v in modified_vars(body) if not variables or v in variables]
+    multiplied, compound = products(f"{body};{guard}"), "&&" in guard or "||" in guard
+    if guard.strip() in ("0", "1") or not guard_names:
+        kind = "constant"
+    else:
+        kind = "compound" if compound else "single_var" if len(guard_names) == 1 else "var_vs_var"
+    divides = re.compile(r"(?<![/*])[/%](?![/*=])")
+    return {
+        "n_pre_vars": min(6, len(variables)), "n_params": min(4, len(params)), "n_modified": min(4, len(changed)), "n_guard_vars": min(3, len(guard_names)), "guard_kind": kind, "nonlinear": bool(multiplied),
+        "product_of_modified": any(a in changed and b in changed for a, b in multiplied), "div_mod": bool(divides.search(body) or divides.search(guard)), "nondet": any(map(NONDET.fullmatch, body_tokens + guard_tokens)),
+        "n_if": min(3, len(re.findall(r"\bif\b", body))), "n_else": min(3, len(re.findall(r"\belse\b", body))), "has_break": bool(re.search(r"\b(?:break|return|goto)\b", body)),
+        "nested_loop": loops > 1 or bool(re.search(r"\b(?:while|for)\s*\(", body)), "requires": requires, "update_kinds": update_kinds(body), "body_stmts": min(8, body.count(";")),
+    }
+
+
+def feature_bag(features: dict[str, object]) -> list[str]:
+    """key=value atoms, one for each value of a list."""
+    return sorted({f"{k}={x}" for k, v in features.items() for x in ((v or ["none"]) if isinstance(v, list) else [v])})
 
 
-def structural_features(p: Program) -> dict[str, str]:
-    """Bucketed counts of what a program is built of."""
-    code = code_only(p.source)
-    body = p.loops[0].body if p.loops else ""
-    cap = lambda n, most=3: str(n) if n < most else f"{most}+"
-    count = lambda pattern, text: len(re.findall(pattern, text))
-    return {
-        "params": cap(len(p.params)), "locals": cap(len(p.local_inits), 5), "loops": cap(len(p.loops)), "nested": str(any(a.body_open < b.kw_start < a.body_close for a in p.loops for b in p.loops)),
-        "ifs": cap(count(r"\bif\b", body)), "else": cap(count(r"\belse\b", body)), "breaks": cap(count(r"\bbreak\b", body)), "modified": cap(len(modified_vars(body)), 5),
-        "mul": cap(count(r"\w\s*\*\s*\w", body)), "div": cap(count(r"/(?![/*])", body)), "mod": cap(count("%", body)), "nondet": cap(sum(bool(NONDET.match(w)) for w in WORD.findall(code))),
-        "guard_ops": cap(count(r"&&|\|\|", p.loops[0].guard if p.loops else "")), "guard_kind": "constant" if p.loops and p.loops[0].guard in ("1", "true") else "relation",
-        "requires": str(bool(p.requires)), "unsigned": str(bool(p.unsigned_vars)),
+def _digest(value: object) -> str:
+    return hashlib.sha256(json.dumps(value).encode()).hexdigest()
+
+
+def fingerprint(source: str) -> dict[str, object]:
+    """Digests of the program, its target hidden and its loop in while form, at each of LEVELS; its cell; and the bag of features."""
+    source = while_form(source)
+    features, coarse = structural_features(source), coarse_profile(source)
+    bare = tokens(strip_target(source))
+    guard, body = first_loop(source)
+    n = features["n_pre_vars"]
+    made = {
+        "exact": near_exact(source), "alpha": alpha(bare, False), "alpha_const": alpha(bare, True), "alpha_const_loop": alpha(tokens(f"while ({guard}) {{{body}}}"), True),
+        "skeleton_ops": skeleton(source, True), "skeleton": skeleton(source, False), "coarse": coarse,
+        "cell": [*coarse, features["guard_kind"], features["nonlinear"], features["nondet"], "v<=2" if n <= 2 else "v3-4" if n <= 4 else "v5+"],
     }
+    return {k: _digest(v) for k, v in made.items()} | {"bag": feature_bag(features)}
+
+
+#: T20. Beyond these a program is not taken: variables, ifs, statements of the loop, characters.
+EXTREME = {"variables": 12, "branches": 6, "statements": 24, "characters": 4000}
 
 
-def fingerprint(source: str) -> dict[str, str | list[str]]:
-    """Digests of seven representations, from the text itself to a profile of features; the cell (a coarse class) and the bag of features."""
+def inspected(source: str) -> dict[str, object]:
+    """Level (easy, medium or challenging) and the counts that decide it, or the reason why a program is not taken."""
     p = parse_program(source)
-    t = TOKEN.findall(while_form(code_only(source)))
-    near = ["FUNC" if x == p.func_name else x for x in t]
-    f = structural_features(p)
-    skeleton = control_skeleton(t)
-    made = {
-        "exact": source, "near": " ".join(near), "alpha": " ".join(alpha(near, False)), "constants": " ".join(alpha(near, True)), "shape": " ".join(x for x in skeleton if x not in "{}"),
-        "ordered": " ".join(skeleton), "profile": repr(sorted(f.items())),
+    if len(p.loops) != 1:
+        return {"reason": "not_single_loop"}
+    if strip_target(source).strip() != source.strip():
+        return {"reason": "visible_target"}
+    loop = p.loops[0]
+    tests = [(m, matching(loop.body, m.start(1))) for m in re.finditer(r"\bif\s*(\()", loop.body)]
+    exits = sum(end >= 0 and bool(re.match(r"\s*(?:\{\s*)?break\s*;", loop.body[end + 1 :])) for _, end in tests)
+    f = {
+        "variables": len(p.pre_vars), "branches": len(tests), "active_variables": len(set(p.pre_vars) & set(WORD.findall(f"{loop.guard} {loop.body}"))), "decisions": len(tests) - exits,
+        "statements": loop.body.count(";"), "assignments": len(re.findall(r"\+\+|--|[-+*/%]=|(?<![<>=!])=(?!=)", loop.body)), "nonlinear": bool(PRODUCT.search(loop.body)),
     }
-    return {k: hashlib.sha256(v.encode()).hexdigest() for k, v in made.items()} | {"cell": f"{f['loops']}/{f['nested']}/{f['guard_kind']}", "bag": sorted(f"{k}={v}" for k, v in f.items())}
+    if re.search(r"\b(?:return|goto)\b", loop.body) or re.search(r"\[[^\]]*\]", source):
+        return f | {"reason": "complex_control_or_array"}
+    if any((f | {"characters": len(source)})[k] > most for k, most in EXTREME.items()):
+        return f | {"reason": "extreme_static_complexity"}
+    if not f["assignments"]:
+        return f | {"reason": "no_loop_updates"}
+    return f | {"level": _level(f)}
+
+
+def _level(f: dict[str, object]) -> str:
+    if f["active_variables"] <= 2 and f["assignments"] <= 1 and f["decisions"] <= 1 and not f["nonlinear"]:
+        return "easy"
+    far = {"active_variables": 6, "decisions": 2, "assignments": 7, "statements": 15}
+    return "challenging" if any(f[k] > n for k, n in far.items()) else "medium"
 
 
 def level_of(p: Program) -> str:
-    """Easy, medium or challenging, or why a program is not eligible."""
-    if not p.loops:
-        return "no_loop"
-    f = structural_features(p)
-    weight = sum(f[k] != "0" for k in ("ifs", "mul", "div", "mod", "breaks")) + (f["nested"] == "True") + (len(p.loops) > 1)
-    return "easy" if weight == 0 else "medium" if weight <= 2 else "challenging"
+    """The level of a program, or why it is not taken."""
+    found = inspected(p.source)
+    return str(found.get("level") or found["reason"])
+
+
+def difficulty(f: dict[str, object]) -> str | None:
+    """too_easy (a counter alone), too_hard (products of changed variables, or wide and long), or null."""
+    if _counter(f):
+        return "too_easy"
+    return "too_hard" if _wide(f) or (f["product_of_modified"] and f["n_modified"] >= 3) else None
+
+
+def _counter(f: dict[str, object]) -> bool:
+    return f["n_modified"] <= 1 and f["n_pre_vars"] <= 2 and not (f["nondet"] or f["nonlinear"] or f["n_if"]) and set(f["update_kinds"]) <= {"increment"}
+
+
+def _wide(f: dict[str, object]) -> bool:
+    """Never holds where n_modified is capped below five, as it is in structural_features."""
+    return f["n_modified"] >= 5 and f["body_stmts"] >= 8
+
+
+def nonlinear_admissible(f: dict[str, object]) -> bool:
+    """Nonlinear programs that are taken though they count as too hard."""
+    return bool(f["nonlinear"]) and not _counter(f) and not _wide(f)
+
+
+def canonicalized(visible: str, raw: str | None = None) -> tuple[str, str | None, str]:
+    """C11: a record's program in while form, its raw code likewise, and a status: rewritten, unchanged, rewrite_unparsable, rewrite_loop_count or raw_code_mismatch.
+
+    The raw code holds comments and the target besides; where its own rewriting does not come to the same program, it
+    becomes the visible one if it was that before, else the record stays.
+    """
+    new = while_form(visible)
+    if new == visible:
+        return visible, raw, "unchanged"
+    try:
+        loops = parse_program(new).loops
+    except ValueError:
+        return visible, raw, "rewrite_unparsable"
+    if len(loops) != 1:
+        return visible, raw, "rewrite_loop_count"
+    if raw is None:
+        return new, None, "rewritten"
+    bare = lambda x: strip_target(x).strip()
+    new_raw = while_form(raw)
+    if new_raw != raw and bare(new_raw) == bare(new):
+        return new, new_raw, "rewritten"
+    if bare(raw) == visible.strip():
+        return new, new, "rewritten"
+    return visible, raw, "raw_code_mismatch"
 
 
 def determinized(source: str) -> tuple[str, list[str]]:

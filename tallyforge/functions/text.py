@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import program
+
+#: Fixed value. What marks a clause in an annotated text: everything up to the next semicolon is the clause.
 CLAUSE = r"loop\s+invariant\s+([^;]+);"
-TOKEN = r"[A-Za-z_]\w*|\d+|==|!=|<=|>=|&&|\|\||<<|>>|[^\s\w]"
-IDENTIFIER = r"[A-Za-z_]\w*"
-#: Words that alpha-normalization leaves as they are.
-KEYWORDS = ("if", "else", "while", "for", "do", "return", "break", "continue", "int", "void", "unsigned", "assert", "requires", "ensures", "loop", "invariant")
+TOKEN, IDENTIFIER = program.TOKEN.pattern, r"[A-Za-z_]\w*"
+#: Names of unknown calls, and how numbers are written.
+NONDET, NUMBER = program.NONDET.pattern, program.NUMBER.pattern
+COMMENT = r"(?s)/\*.*?\*/|//[^\n]*"
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once: a lambda's variable is not replaced by what it stands for."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
 
 
 def normalize_clause(c: Column) -> Column:
@@ -21,9 +31,9 @@ def normalize_clause(c: Column) -> Column:
 def extract_clauses(c: Column, most: int | None = None) -> Column:
     """The clauses of an annotated text, in order; the first `most`, if given."""
     if most is not None and most < 0:
-        raise ValueError("most must not be negative")
-    found = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(CLAUSE), F.lit(1)), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
-    return found if most is None else F.slice(found, 1, most)
+        raise ValueError(f"most is {most}, below 0")
+    clauses = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(CLAUSE), F.lit(1)), collapse_space)
+    return clauses if most is None else F.slice(clauses, 1, most)
 
 
 def collapse_space(c: Column) -> Column:
@@ -35,9 +45,20 @@ def normalized(c: Column) -> Column:
     return F.lower(collapse_space(c))
 
 
+def uncommented(c: Column) -> Column:
+    """T5: a program without comments; of an annotation block its requires clauses stay."""
+
+    def shown(x: Column) -> Column:
+        clauses = F.transform(F.regexp_extract_all(x, F.lit(r"\brequires\b\s*([^;]*);"), F.lit(1)), lambda r: F.concat(F.lit("requires "), r, F.lit(";")))
+        return F.when(x.startswith("/*@") & x.rlike(r"\brequires\b"), F.array_join(clauses, " ")).otherwise(" ")
+
+    comments = F.array_append(F.transform(F.regexp_extract_all(c, F.lit(COMMENT), F.lit(0)), shown), F.lit(""))
+    return F.array_join(F.flatten(F.zip_with(F.split(c, COMMENT, -1), comments, lambda a, b: F.array(a, b))), "")
+
+
 def tokens(c: Column) -> Column:
-    """T5: identifiers, numbers, operators and single marks."""
-    return F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))
+    """T5: operators, identifiers, numbers and single marks of a program without its comments."""
+    return F.regexp_extract_all(uncommented(c), F.lit(TOKEN), F.lit(0))
 
 
 def words(c: Column) -> Column:
@@ -51,16 +72,20 @@ def identifiers(c: Column) -> Column:
 
 
 def alpha_normalized(c: Column, constants: bool = False) -> Column:
-    """Identifiers other than keywords become v0, v1, ... by first appearance; with `constants`, numbers but 0 and 1 become NUM."""
-    t = tokens(c)
-    named = lambda x: x.rlike(f"^{IDENTIFIER}$") & ~x.isin(*KEYWORDS)
-    names = F.array_distinct(F.filter(t, named))
+    """Identifiers other than keywords become v0, v1, ... by first appearance, unknown calls NONDET; with `constants`, numbers but 0 and 1 become NUM."""
+    unknown = lambda x: x.rlike(f"^(?:{NONDET})$")
+    named = lambda x: x.rlike(f"^{IDENTIFIER}$") & ~x.isin(*sorted(program.KEYWORDS)) & ~unknown(x)
+    number = lambda x: x.rlike(f"^(?:{NUMBER})$") & ~x.rlike("^(?:0[xX])?0*[01]$")
 
-    def one(x: Column) -> Column:
-        out = F.when(named(x), F.concat(F.lit("v"), (F.array_position(names, x) - 1).cast("string")))
-        return (out.when(x.rlike(r"^\d+$") & ~x.isin("0", "1"), F.lit("NUM")) if constants else out).otherwise(x)
+    def renamed(t: Column) -> Column:
+        def one(x: Column, names: Column) -> Column:
+            out = F.when(unknown(x), "NONDET").when(named(x), F.concat(F.lit("v"), (F.array_position(names, x) - 1).cast("string")))
+            return (out.when(number(x), F.lit("NUM")) if constants else out).otherwise(x)
 
-    return F.array_join(F.transform(t, one), " ")
+        return let(F.array_distinct(F.filter(t, named)), lambda names: F.array_join(F.transform(t, lambda x: one(x, names)), " "))
+
+    # tokens and names are computed once a text, not once a token
+    return let(tokens(c), renamed)
 
 
 def out_of_scope(c: Column, allowed: Column) -> Column:
@@ -72,19 +97,29 @@ def out_of_scope(c: Column, allowed: Column) -> Column:
 
 
 def constant_bound(c: Column) -> Column:
-    """Struct variable, side (lower or upper), value of `v op number` or `number op v`; null for other clauses."""
-    s = F.regexp_replace(normalize_clause(c), r"^\(+|\)+$", "")
-    direct, reverse = r"^\s*([A-Za-z_]\w*)\s*(>=|>|<=|<)\s*([+-]?\d+)\s*$", r"^\s*([+-]?\d+)\s*(<=|<|>=|>)\s*([A-Za-z_]\w*)\s*$"
-    is_direct, is_reverse = s.rlike(direct), s.rlike(reverse)
-    part = lambda d, r: F.when(is_direct, F.regexp_extract(s, direct, d)).otherwise(F.regexp_extract(s, reverse, r))
-    op = F.when(is_direct, F.regexp_extract(s, direct, 2)).otherwise(F.translate(F.regexp_extract(s, reverse, 2), "<>", "><"))
-    value = part(3, 1).try_cast("long")
-    out = F.struct(
-        part(1, 3).alias("variable"),
-        F.when(op.startswith(">"), "lower").otherwise("upper").alias("side"),
-        F.when(op == ">", value + 1).when(op == "<", value - 1).otherwise(value).alias("value"),
-    )
-    return F.when(is_direct | is_reverse, out)
+    """Struct variable, side (lower or upper), value of a variable compared with a number on either side; null for other clauses.
+
+    The clause is read as lexemes. Brackets may stand around the whole of it, as many at its end as at its start; three
+    parts are then left: what stands left of the sign, the sign, and what stands right of it.
+    """
+    lexemes = F.regexp_extract_all(normalize_clause(c), F.lit(r"[<>]=?|[A-Za-z_]\w*|[+-]?\d+|\S"), F.lit(0))
+
+    def inner(t: Column) -> Column:
+        around = F.size(t) - F.size(F.filter(t, lambda x: x != "("))
+        closed = F.forall(F.slice(t, 1, around), lambda x: x == "(") & (F.size(t) == 2 * around + 3) & F.forall(F.slice(t, around + 4, around), lambda x: x == ")")
+        return F.when(closed, F.slice(t, around + 1, 3))
+
+    def read(p: Column) -> Column:
+        part = lambda k: F.get(p, F.lit(k))
+        name, number, turned = rf"^{IDENTIFIER}$", r"^[+-]?\d+$", part(0).rlike(r"^[+-]?\d")
+        variable, value = F.when(turned, part(2)).otherwise(part(0)), F.when(turned, part(0)).otherwise(part(2))
+        sign = F.when(turned, F.translate(part(1), "<>", "><")).otherwise(part(1))
+        strict, lower = F.when(F.length(sign) == 1, 1).otherwise(0), sign.startswith(">")
+        bound = value.try_cast("long") + F.when(lower, strict).otherwise(-strict)
+        out = F.struct(variable.alias("variable"), F.when(lower, "lower").otherwise("upper").alias("side"), bound.alias("value"))
+        return F.when(sign.isin("<", "<=", ">", ">=") & variable.rlike(name) & value.rlike(number), out)
+
+    return let(lexemes, lambda t: let(inner(t), read))
 
 
 def clause_features(c: Column, modified: Column) -> Column:
@@ -108,10 +143,15 @@ def clause_features(c: Column, modified: Column) -> Column:
     )
 
 
-def control_profile(c: Column, cap: int = 3) -> Column:
-    """Counts of control words and operators, capped."""
-    kinds = {"ifs": r"\bif\b", "loops": r"\b(?:while|for)\b", "breaks": r"\bbreak\b", "ands": r"&&", "ors": r"\|\|", "mods": r"%"}
-    return F.struct(*[F.least(F.regexp_count(c, F.lit(p)), F.lit(cap)).alias(k) for k, p in kinds.items()])
+def control_profile(guard: Column, body: Column, conditions: Column, cap: int = 3) -> Column:
+    """Of a loop's guard, its body and the conditions of the body's ifs (program.first_loop, program.conditions): kind of guard; counts, capped, of ifs, elses and compound conditions; which jumps and inner loops there are."""
+    count = lambda word: F.least(F.regexp_count(body, F.lit(rf"\b{word}\b")), F.lit(cap))
+    has = lambda words: body.rlike(rf"\b(?:{words})\b")
+    compound = F.size(F.filter(F.array_append(conditions, guard), lambda x: x.rlike(r"&&|\|\|")))
+    return F.struct(
+        F.when(guard.rlike(r"^\s*[01]\s*$"), "constant").otherwise("expression").alias("guard"), count("if").alias("ifs"), count("else").alias("elses"), F.least(compound, F.lit(cap)).alias("compound"),
+        *[has(w).alias(f"has_{w}") for w in ("break", "continue", "return", "goto")], has("while|for").alias("has_loop"),
+    )
 
 
 def annotated(source: Column, at: Column, clauses: Column) -> Column:

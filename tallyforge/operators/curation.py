@@ -1,4 +1,4 @@
-"""Curation of a pool: gates, quotas, weights, verdicts."""
+"""Curation of a pool: gates, quotas, weights, verdicts."""
 
 from __future__ import annotations
 
@@ -28,17 +28,49 @@ def importance_weights(train: DataFrame, evaluation: DataFrame, cell: str, floor
     return j.select("cell", "train_n", F.coalesce("eval_n", F.lit(0)).alias("eval_n"), F.least(F.lit(ceiling), F.greatest(F.lit(floor), F.coalesce(want, F.lit(floor)))).alias("weight"))
 
 
-def frontier_verdict(error: Column, n_negatives: Column, low: Column, high: Column, distinct: Column, std: Column, flat: float = 0.01, top: float = 0.95, bottom: float = 0.05) -> Column:
-    """What a policy's rewards on a program say: error, unscorable, saturated, hopeless, flat or frontier."""
-    return (
-        F.when(error.isNotNull(), "error").when(F.coalesce(n_negatives, F.lit(0)) == 0, "unscorable").when(low >= top, "saturated").when(high <= bottom, "hopeless")
-        .when((distinct <= 1) | (std < flat), "flat").otherwise("frontier")
+def frontier_verdict(ok: Column, scorable: Column, mean: Column, std: Column, min_std: float = 0.05, min_mean: float = 0.05, max_mean: float = 0.95) -> Column:
+    """What a policy's rewards on a program say: error, unscorable, saturated, hopeless, flat (little spread about a middling mean) or frontier."""
+    end = F.when(mean > max_mean, "saturated").when(mean < min_mean, "hopeless")
+    known = end.otherwise(F.when(std < min_std, "flat").otherwise("frontier"))
+    return F.when(~F.coalesce(ok, F.lit(False)), "error").when(~F.coalesce(scorable, F.lit(False)), "unscorable").otherwise(known)
+
+
+#: C7. What sharing a level is worth, before similarity.
+RELATED = {"skeleton_ops": 0.9, "skeleton": 0.75, "coarse": 0.5}
+
+
+def relatedness(level: Column, similarity: Column) -> Column:
+    """The worth of the strongest shared level, the rest to 1 filled by the share that similarity says."""
+    worth = F.coalesce(*[F.when(level == k, v) for k, v in RELATED.items()], F.lit(0.0))
+    return F.round(worth + (1 - worth) * F.coalesce(similarity, F.lit(0.0)), 4)
+
+
+def program_gates(
+    duplicate: Column, in_ledger: Column, version: Column, scorable: Column, traces: Column, relation: Column, related: Column, cell_in_evaluation: Column, difficulty: Column,
+    current: int, min_traces: int, min_relation: int, min_relation_share: float,
+) -> Column:
+    """Names of the gates that a program fails, in order. All arguments are Columns of one row a program, its ledger's joined (in_ledger: is there one?)."""
+    held = lambda c: F.coalesce(c, F.lit(False))
+    n, r = F.coalesce(traces, F.lit(0)), F.coalesce(relation, F.lit(0))
+    readable = held(in_ledger) & version.eqNullSafe(F.lit(current)) & held(scorable)
+    scored = readable & (n > 0)
+    return gates(
+        duplicate_of_eval=duplicate.isNotNull(), unscorable=~scored, too_few_traces=scored & (n < min_traces), no_relation_signal=scored & (r < min_relation),
+        bounds_saturated=scored & (r >= min_relation) & (F.try_divide(r, n) < min_relation_share), unrelated_to_eval=~held(cell_in_evaluation) & related.isNull(),
+        too_easy=difficulty == "too_easy", too_hard=difficulty == "too_hard",
     )
 
 
-def relatedness(level: Column) -> Column:
-    """Score of the strongest shared level."""
-    return F.when(level == "exact", 1.0).when(level == "alpha", 0.9).when(level == "shape", 0.6).when(level == "profile", 0.3).otherwise(0.0)
+def program_tags(in_ledger: Column, version: Column, scorable: Column, error: Column, traces: Column, capped: Column, nonlinear: Column, n_pre_vars: Column, current: int) -> Column:
+    """Why a program cannot be scored, if so, and what else is to be known of it."""
+    held = lambda c: F.coalesce(c, F.lit(False))
+    there, now = held(in_ledger), version.eqNullSafe(F.lit(current))
+    readable, broken = there & now & held(scorable), there & now & ~held(scorable)
+    memory = held(error.contains("MemoryError"))
+    return gates(
+        ledger_missing=~there, ledger_stale=there & ~now, sampler_memory=broken & memory, sampler_error=broken & ~memory, zero_negatives=readable & (F.coalesce(traces, F.lit(0)) == 0),
+        hard_structure=held(nonlinear) & (n_pre_vars >= 5), capped=readable & held(capped),
+    )
 
 
 def gaps(demand: DataFrame, supply: DataFrame, cell: str, cap: int) -> DataFrame:

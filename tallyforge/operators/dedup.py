@@ -27,8 +27,9 @@ def version_counts(df: DataFrame, text: Column) -> DataFrame:
 
 def shingles(text: Column, n: int) -> Column:
     """Distinct hashes of n words in a row; none for shorter texts."""
-    w = tx.words(text)
-    return F.when(F.size(w) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.slice(w, i, n))))).otherwise(F.array().cast("array<long>"))
+    # the words are a variable of the function, so that a text is cut once and not once a shingle
+    runs = lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.slice(w, i, n)))).otherwise(F.array().cast("array<long>"))
+    return F.array_distinct(tx.let(tx.words(text), runs))
 
 
 def contaminated(docs: DataFrame, bench: DataFrame, n: int = 8) -> DataFrame:
@@ -71,8 +72,10 @@ def nearest_bags(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(query_id, "rank", row_id, "similarity")
 
 
-def append_new(base: DataFrame, more: DataFrame, digest: Column) -> DataFrame:
-    """Base and the rows of more whose digest base lacks, the first of each."""
+def append_new(base: DataFrame, more: DataFrame, digest: Column, order: list[str]) -> DataFrame:
+    """Base and the rows of more whose digest base lacks, of each the first in `order`."""
     have = base.select(digest.alias("_d")).distinct()
-    new = more.withColumn("_d", digest).join(have, "_d", "left_anti").dropDuplicates(["_d"]).drop("_d")
+    new = more.withColumn("_d", digest).join(have, "_d", "left_anti")
+    row = F.struct(*[F.col(f"`{c}`") for c in more.columns])
+    new = new.groupBy("_d").agg(F.min_by(row, F.struct(*order)).alias("_row")).select("_row.*")
     return base.unionByName(new, allowMissingColumns=True)

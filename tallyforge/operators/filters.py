@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -96,37 +97,69 @@ def _plain(states) -> list[dict]:
     return [{k: as_dict(s[k]) for k in ("vars", "pre", "loop_entry")} for s in (states if states is not None else [])]
 
 
+def _per_group(groups: DataFrame, judge: Callable[[Scope, list[list[str]], list[dict]], list[list[str]]]) -> DataFrame:
+    """Adds survivors, an array a rollout, and filter_error: a group that cannot be judged has no survivors and says why."""
+
+    @F.pandas_udf("survivors array<array<string>>, error string")
+    def run(scope: pd.Series, rollouts: pd.Series, states: pd.Series) -> pd.DataFrame:
+        out = []
+        for sc, rs, st in zip(scope, rollouts, states, strict=True):
+            try:
+                out.append((judge(scope_of(sc), [list(r) for r in rs], _plain(st)), None))
+            except Exception as e:  # noqa: BLE001  whatever a stage raises concerns its group alone
+                out.append((None, f"{type(e).__name__}: {e}"[:300]))
+        return pd.DataFrame(out, columns=["survivors", "error"])
+
+    judged = groups.withColumn("_judged", run.asNondeterministic()("scope", "clauses", "positives"))
+    return judged.select(*groups.columns, "_judged.survivors", F.col("_judged.error").alias("filter_error"))
+
+
 def pooled(groups: DataFrame, stage: Stage = lite) -> DataFrame:
-    """Groups: group_id, scope (JSON), clauses (one array a rollout), positives. Adds survivors, an array a rollout.
+    """Groups: group_id, scope (JSON), clauses (one array a rollout), positives. Adds survivors and filter_error.
 
-    The distinct clauses of a group are filtered once; each rollout keeps its own spelling of what survives.
+    The distinct clauses of a group are filtered once; each rollout keeps its own spelling of what survives (J5).
     """
 
-    @F.pandas_udf("array<array<string>>")
-    def run(scope: pd.Series, rollouts: pd.Series, states: pd.Series) -> pd.Series:
-        out = []
-        for sc, rs, st in zip(scope, rollouts, states, strict=True):
-            rs = [[c for c in r] for r in rs]
-            kept = {dedup_key(c) for c in stage(scope_of(sc), dedup_normalized([c for r in rs for c in r]), _plain(st))}
-            out.append([[c for c in dedup_normalized(r) if dedup_key(c) in kept] for r in rs])
-        return pd.Series(out)
+    def judge(scope: Scope, rollouts: list[list[str]], states: list[dict]) -> list[list[str]]:
+        kept = {dedup_key(c) for c in stage(scope, dedup_normalized([c for r in rollouts for c in r]), states)}
+        return [[c for c in dedup_normalized(r) if dedup_key(c) in kept] for r in rollouts]
 
-    return groups.withColumn("survivors", run("scope", "clauses", "positives"))
+    return _per_group(groups, judge)
 
 
 def independent(groups: DataFrame, stage: Stage = lite) -> DataFrame:
-    """Each rollout filtered by itself; equal ones once."""
+    """Each rollout filtered by itself; equal ones once. Adds survivors and filter_error."""
 
-    @F.pandas_udf("array<array<string>>")
-    def run(scope: pd.Series, rollouts: pd.Series, states: pd.Series) -> pd.Series:
-        out = []
-        for sc, rs, st in zip(scope, rollouts, states, strict=True):
-            known: dict[tuple, list[str]] = {}
-            plain = _plain(st)
-            out.append([known.setdefault(k, []) if k in known else known.setdefault(k, stage(scope_of(sc), dedup_normalized(list(r)), plain)) for r in rs for k in [tuple(r)]])
-        return pd.Series(out)
+    def judge(scope: Scope, rollouts: list[list[str]], states: list[dict]) -> list[list[str]]:
+        known = {r: stage(scope, dedup_normalized(list(r)), states) for r in set(map(tuple, rollouts))}
+        return [known[tuple(r)] for r in rollouts]
+
+    return _per_group(groups, judge)
 
-    return groups.withColumn("survivors", run("scope", "clauses", "positives"))
+
+def error_lines(log: str, file: str | None = None) -> list[int]:
+    """The lines that a checker's log complains about, each once: `name.c:12: ...` and `line 12`."""
+    found = re.findall(r"([\w./-]+\.c):(\d+):|\bline (\d+)\b", log)
+    lines = [int(a or b) for name, a, b in found if not name or file is None or name.endswith(file)]
+    return list(dict.fromkeys(lines))
+
+
+def scrub_stage(complain: Callable[[Scope, list[str]], str | None], first_line: int = 1) -> Stage:
+    """Drop the clause at the first line that a checker complains about, one a line from first_line on, until it is content; if a complaint names no clause, each clause is tried alone.
+
+    complain takes a scope and clauses and gives a log, or null if all is well.
+    """
+
+    def run(scope: Scope, clauses: list[str], states: list[dict]) -> list[str]:
+        clauses = list(clauses)
+        while clauses and (log := complain(scope, clauses)):
+            at = next((n - first_line for n in error_lines(log) if 0 <= n - first_line < len(clauses)), None)
+            if at is None:
+                return [c for c in clauses if not complain(scope, [c])]
+            del clauses[at]
+        return clauses
+
+    return run
 
 
 def verdicts(pairs: DataFrame, clause: str = "clause", state: str = "state", out: str = "verdict") -> DataFrame:

@@ -1,8 +1,8 @@
-"""Append-only ledgers: latest rows, pending work, fail-closed joins, pairing, summaries."""
+"""Append-only ledgers: latest rows, pending work, fail-closed joins, pairing, summaries."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -74,18 +74,27 @@ def failure_kinds(**flags: Column) -> Column:
     return F.concat_ws(";", *[F.when(c, F.lit(k)) for k, c in flags.items()])
 
 
-def strength(forward: Column, backward: Column) -> Column:
-    """Q5: how two predicates compare, from the verdicts (valid, invalid, other) on either implication."""
-    f, b = F.coalesce(forward, F.lit("unknown")), F.coalesce(backward, F.lit("unknown"))
-    return (
-        F.when((f == "valid") & (b == "valid"), "equivalent").when((f == "valid") & (b == "invalid"), "stronger").when((f == "invalid") & (b == "valid"), "weaker")
-        .when((f == "invalid") & (b == "invalid"), "incomparable").when(f == "valid", "at_least_as_strong").when(b == "valid", "at_least_as_weak").otherwise("unknown")
+def strength(feasible: Column, forward: Column, backward: Column) -> Column:
+    """Q5: how an invariant compares with a target, from a solver's answers (sat, unsat or other): can the invariant hold at all, can it hold without the target, can the target hold without it."""
+    refuted = lambda c: F.coalesce(c, F.lit("")) == "unsat"
+    found = lambda c: F.coalesce(c, F.lit("")) == "sat"
+    compared = (
+        F.when(refuted(forward) & found(backward), "strictly_stronger").when(refuted(forward) & refuted(backward), "target_equivalent")
+        .when(found(forward) & refuted(backward), "strictly_weaker").when(found(forward) & found(backward), "incomparable").otherwise("unknown_implication")
     )
+    return F.when(refuted(feasible), "invariant_target_context_unsatisfiable").when(found(feasible), compared).otherwise("unknown_nonvacuity")
 
 
-def retry_class(log: Column) -> Column:
-    """Q10: is a failure one of the infrastructure, by its log?"""
-    return F.when(log.rlike(r"(?i)timed? ?out|connection (?:reset|refused)|rate limit|\b50[234]\b|temporarily unavailable"), "retry").when(log.rlike(r"(?i)error|exception|traceback"), "failed").otherwise("ok")
+#: Fixed values. Marks in a log that a failure was one of the infrastructure.
+INFRASTRUCTURE = (
+    "RateLimitError", "APIConnectionError", "APITimeoutError", "InternalServerError", "ConnectError", "RemoteProtocolError", "Server disconnected", "TLS/SSL connection has been closed",
+    r"Connection error\.", r"Request timed out\.", r"HTTP/1\.1 (?:429|5\d\d)",
+)
+
+
+def retryable(status: Column, log: Column) -> Column:
+    """Q10: did a generation fail for reasons of the infrastructure, by its log?"""
+    return F.coalesce((status == "failed") & log.rlike("(?i)" + "|".join(INFRASTRUCTURE)), F.lit(False))
 
 
 def renamed(c: Column, names: dict[str, str]) -> Column:
@@ -100,3 +109,55 @@ def rates(success: Column, unresolved: Column, total: Column) -> Column:
     """Lower and upper rate while some rows are unresolved."""
     n = total.cast("double")
     return F.struct(F.try_divide(success.cast("double"), n).alias("low"), F.try_divide((success + unresolved).cast("double"), n).alias("high"))
+
+
+def missing_keys(rows: DataFrame, other: DataFrame, key: list[str]) -> DataFrame:
+    """Keys of rows that other lacks, each once."""
+    return rows.select(*key).distinct().join(other.select(*key).distinct(), key, "left_anti")
+
+
+def common_tasks(a: DataFrame, b: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both ledgers, cut to the tasks that both have."""
+    return a.join(b.select(*key).distinct(), key, "left_semi"), b.join(a.select(*key).distinct(), key, "left_semi")
+
+
+def zipped(a: DataFrame, b: DataFrame, task: list[str], pos: str) -> DataFrame:
+    """Rows of a and b at the same place of the same task; reading fails if a place is in one of them only."""
+    j = a.withColumn("_a", F.lit(True)).join(b.withColumn("_b", F.lit(True)), [*task, pos], "full_outer")
+    held = F.when(F.col("_a") & F.col("_b"), True).otherwise(F.raise_error("lengths differ").cast("boolean"))
+    return j.where(held).drop("_a", "_b")
+
+
+def enriched(rows: DataFrame, artefacts: list[DataFrame], key: list[str], value: str) -> DataFrame:
+    """Rows with the value of the first artefact table (one row a key) that has one."""
+    out = rows
+    for i, a in enumerate(artefacts):
+        out = out.join(a.select(*key, F.col(value).alias(f"_{i}")), key, "left")
+    return out.withColumn(value, F.coalesce(*[f"_{i}" for i in range(len(artefacts))])).drop(*[f"_{i}" for i in range(len(artefacts))])
+
+
+def discovered(ledgers: DataFrame, key: list[str], clauses: str, success: list[Column]) -> DataFrame:
+    """Of all ledgers' rows, the distinct clause lists of each task that succeed by any rule, fewer clauses first, then the shorter, then by text."""
+    ok = F.lit(False)
+    for s in success:
+        ok = ok | F.coalesce(s, F.lit(False))
+    d = ledgers.where(ok & (F.size(clauses) > 0)).select(*key, F.col(clauses).alias("clauses")).distinct()
+    d = d.withColumns({"n": F.size("clauses"), "length": F.length(F.array_join("clauses", ""))})
+    return d.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy("n", "length", F.array_join("clauses", "\n"))))
+
+
+def column_maxima(table: DataFrame, order: str, metrics: list[str]) -> DataFrame:
+    """Q12: for each metric the row (by order) of its largest value, the first on ties. An aggregate, so nothing is sorted."""
+    best = [F.max_by(F.struct(F.col(order).alias("row"), F.col(m).cast("double").alias("value")), F.struct(F.col(m), F.negative(F.col(order)))).alias(m) for m in metrics]
+    one = table.agg(*best)
+    return one.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"{m}.row").alias("row"), F.col(f"{m}.value").alias("value")) for m in metrics])).alias("x")).select("x.*")
+
+
+def replay_gate(done: Column, expected: Column, success: Column) -> Column:
+    """Q8: a rate that stays null until all expected rows are there."""
+    return F.when(done == expected, F.try_divide(success.cast("double"), expected.cast("double")))
+
+
+def verified(syntax: Column, invariants: Column, target: Column) -> Column:
+    """Q3: right if the syntax is, every invariant is proved, and the target is, where there is one."""
+    return F.coalesce(syntax, F.lit(False)) & F.coalesce(F.forall(invariants, lambda x: F.coalesce(x, F.lit(False))), F.lit(False)) & F.coalesce(target, F.lit(True))

@@ -352,17 +352,19 @@ def c_div_mod(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH g AS (SELECT l_suppkey, CASE WHEN l_suppkey % 17 = 0 THEN 'failed' END AS error, CASE WHEN l_suppkey % 13 = 0 THEN 0 ELSE 1 END AS neg, min(l_discount) * 10 AS lo, max(l_discount) * 10 AS hi,
-                  count(DISTINCT l_discount) AS d, stddev_pop(l_discount) AS s FROM lineitem WHERE l_orderkey % 40 = 0 GROUP BY l_suppkey),
-v AS (SELECT CASE WHEN error IS NOT NULL THEN 'error' WHEN neg = 0 THEN 'unscorable' WHEN lo >= 0.95 THEN 'saturated' WHEN hi <= 0.05 THEN 'hopeless' WHEN d <= 1 OR s < 0.01 THEN 'flat' ELSE 'frontier' END AS verdict FROM g)
+WITH r AS (SELECT l_suppkey, CASE l_suppkey % 5 WHEN 0 THEN 0.96 + l_discount / 10 WHEN 1 THEN l_discount / 10 WHEN 2 THEN 0.5 + l_discount / 10 ELSE l_discount * 10 END AS reward FROM lineitem),
+g AS (SELECT l_suppkey, round(avg(reward), 4) AS mean, round(stddev_pop(reward), 4) AS std FROM r GROUP BY l_suppkey),
+v AS (SELECT CASE WHEN l_suppkey % 17 = 0 THEN 'error' WHEN l_suppkey % 13 = 0 THEN 'unscorable'
+                  WHEN std < 0.05 THEN CASE WHEN mean > 0.95 THEN 'saturated' WHEN mean < 0.05 THEN 'hopeless' ELSE 'flat' END
+                  WHEN mean > 0.95 THEN 'saturated' WHEN mean < 0.05 THEN 'hopeless' ELSE 'frontier' END AS verdict FROM g)
 SELECT verdict, CAST(count(*) AS BIGINT) AS n FROM v GROUP BY 1
 """)
 def frontier_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    """Of whole lineitem. The SQL above still has the old cut of a fortieth (README)."""
+    """Of whole lineitem; the discounts of a supplier's lines, on a scale that depends on the supplier, stand for rewards."""
     d, k = F.col("l_discount"), F.col("l_suppkey")
-    g = table(spark, sf, "lineitem").groupBy("l_suppkey").agg((F.min(d) * 10).alias("lo"), (F.max(d) * 10).alias("hi"), F.countDistinct(d).alias("d"), F.stddev_pop(d).alias("s"))
-    v = curation.frontier_verdict(F.when(k % 17 == 0, "failed"), F.when(k % 13 == 0, 0).otherwise(1), F.col("lo"), F.col("hi"), F.col("d"), F.col("s"))
-    return g.groupBy(v.alias("verdict")).agg(F.count("*").alias("n"))
+    paid = F.when(k % 5 == 0, 0.96 + d / 10).when(k % 5 == 1, d / 10).when(k % 5 == 2, 0.5 + d / 10).otherwise(d * 10)
+    g = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.round(F.avg(paid), 4).alias("mean"), F.round(F.stddev_pop(paid), 4).alias("std"))
+    return g.groupBy(curation.frontier_verdict(k % 17 != 0, k % 13 != 0, F.col("mean"), F.col("std")).alias("verdict")).agg(F.count("*").alias("n"))
 
 
 _GATES = """
@@ -493,14 +495,22 @@ def trace_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT DISTINCT l_suppkey % 10 AS run, l_linenumber::BIGINT AS x, floor(l_quantity / 10)::BIGINT AS y FROM lineitem WHERE l_orderkey % 5 = 0),
-b AS (SELECT run, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM s GROUP BY run),
-m AS (SELECT * FROM (VALUES (1, 0), (-1, 0), (2, 0), (-2, 0), (0, 1), (0, -1), (0, 2), (0, -2), (1, 1), (-1, -1), (1, -1), (-1, 1), (2, 2), (-2, -2), (2, -2), (-2, 2)) v(dx, dy))
-SELECT c.run, CAST(count(*) AS BIGINT) AS n FROM (SELECT s.run, s.x + dx AS x, s.y + dy AS y FROM s, m) c JOIN b ON c.run = b.run AND c.x BETWEEN x0 AND x1 AND c.y BETWEEN y0 AND y1
-WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.run = c.run AND s.x = c.x AND s.y = c.y) GROUP BY c.run
+WITH l AS (SELECT l_orderkey AS run, l_linenumber AS it, l_linenumber::BIGINT AS x, floor(l_quantity / 10)::BIGINT AS y, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS r FROM lineitem),
+t AS (SELECT run, it, x, y FROM l WHERE r = 1),
+n AS (SELECT t.run, t.it, t.x, t.y, p.it IS NOT NULL AND p.y < 4 AND t.y >= 4 AS terminal, a.it IS NOT NULL AND b.it IS NOT NULL AND c.it IS NOT NULL AS dense,
+             coalesce(a.x - t.x, t.x - p.x) AS sx, coalesce(a.y - t.y, t.y - p.y) AS sy
+      FROM t LEFT JOIN t p ON p.run = t.run AND p.it = t.it - 1 LEFT JOIN t a ON a.run = t.run AND a.it = t.it + 1
+             LEFT JOIN t b ON b.run = t.run AND b.it = t.it + 2 LEFT JOIN t c ON c.run = t.run AND c.it = t.it + 3),
+f AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY run, x, y ORDER BY it) = 1),
+v(dx, dy, far) AS (SELECT a * d, b * d, d > 2 FROM (VALUES (1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (-1, -1), (1, -1), (-1, 1)) u(a, b), (VALUES (1), (2), (3), (5), (8)) w(d)),
+c AS (SELECT run, x + dx AS x, y + dy AS y FROM f JOIN v ON (terminal OR (dense AND NOT far))
+      WHERE (y < 4) = (y + dy < 4) AND NOT coalesce((sx <> 0 OR sy <> 0) AND dx * sy = dy * sx AND CASE WHEN sx <> 0 THEN dx % sx = 0 ELSE dy % sy = 0 END, false)),
+e AS (SELECT run, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM l GROUP BY run)
+SELECT c.run, CAST(count(*) AS BIGINT) AS n FROM c JOIN e ON e.run = c.run AND c.x BETWEEN x0 AND x1 AND c.y BETWEEN y0 AND y1
+WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.run = c.run AND l.x = c.x AND l.y = c.y) GROUP BY c.run
 """)
 def relation_negatives(spark: SparkSession, sf: str) -> DataFrame:
-    """Moved states inside the envelope that are no positive, on whole traces: run an order, it its line number. The SQL above still has the old cut of a fifth (README)."""
+    """Moved states inside the envelope that are no positive, on whole traces: run an order, it its line number."""
     n = F.col("l_linenumber")
     s = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("run"), n.alias("it"), n.cast("long").alias("x"), F.floor(F.col("l_quantity") / 10).alias("y"), F.struct("l_partkey", "l_suppkey", "l_extendedprice").alias("_order"))
     c = sampling.relation_negatives(s, ["run"], "it", ["x", "y"], F.col("y") < 4)
