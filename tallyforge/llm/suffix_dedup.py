@@ -9,11 +9,13 @@ A corpus does not fit one suffix array, so its strings are first brought togethe
    every window of a later one starts earlier too. This is done within each task before the shuffle, so an anchor
    that a third of all documents share sends one slice for each task.
 3. Where several different slices share an anchor (at the ends of a repeated passage and around edits), their bytes
-   are fetched and their windows put in suffix order: prefix doubling ranks them to LENGTH bytes, ties in the order
-   of their start. The longest previous factor of a window reaches LENGTH if the previous smaller start in suffix
-   order has its rank; no next smaller one can have it then, as ties are sorted by start.
+   are fetched and a block of them gets its suffix array (prefix doubling) with common lengths. From the previous and
+   the next smaller start in suffix order comes the longest-previous-factor array, counted up to LENGTH: windows
+   where it reaches LENGTH start earlier, too, and go; the first stays.
 4. The windows found give spans of bytes, which are joined to their document and cut out.
 
+Step 2 is a pre-aggregation: a later equal slice needs no array, as its previous factor is the whole first one.
+
 Matches never cross documents; the text is judged as it came in, overlaps count, in one document too.
 
 Cases: null and empty texts and those shorter than LENGTH lose nothing. Texts of any length are read whole, in pieces
@@ -167,22 +169,65 @@ _FETCHED = pa.schema([("a", pa.int64()), ("key", pa.int64()), ("start", pa.int64
 _SPANS = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 
 
-def suffix_ranks(data: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
-    """Ranks, by their first `depth` (at least 8) bytes, of the suffixes that begin at `starts`. Prefix doubling."""
+def suffix_order(data: np.ndarray, starts: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes that begin at `starts`, by group and then by their first `depth` bytes (at least 8), ties by start; and what each has in common with the one before, up to depth.
+
+    Prefix doubling: ranks by 8, 16, 32, ... bytes. The common length is put together from those ranks, the longest
+    first, and the last bytes one by one. A suffix has depth bytes at least; suffixes of two groups have nothing in common.
+    """
     rank = np.zeros(len(data), np.uint64)
     padded = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint64)
     for i in range(8):
         rank = rank << np.uint64(8) | padded[i : i + len(data)]
-    have = 8
-    rank = np.unique(rank, return_inverse=True)[1].astype(np.uint64)
-    while have < depth:
-        step = min(have, depth - have)
-        last = have + step >= depth
-        at = starts if last else np.arange(len(data))
-        both = rank[at] << np.uint64(32) | rank[np.minimum(at + step, len(data) - 1)]
-        rank = np.unique(both, return_inverse=True)[1].astype(np.uint64)
-        have += step
-    return rank if depth > 8 else rank[starts]
+    have, levels = 8, []
+    rank = np.unique(rank, return_inverse=True)[1].astype(np.uint32)
+    levels.append((8, rank))
+    while 2 * have <= depth:
+        both = rank.astype(np.uint64) << np.uint64(32) | rank[np.minimum(np.arange(len(data)) + have, len(data) - 1)]
+        rank = np.unique(both, return_inverse=True)[1].astype(np.uint32)
+        have *= 2
+        levels.append((have, rank))
+    last = rank[starts + (depth - have)]
+    order = np.lexsort((starts, last, rank[starts], group))
+    x, y, common = starts[order[:-1]], starts[order[1:]], np.zeros(max(0, len(order) - 1), np.int64)
+    for width, level in reversed(levels):
+        open_ = common + width <= depth
+        common += width * (open_ & (level[np.where(open_, x + common, 0)] == level[np.where(open_, y + common, 0)]))
+    for _ in range(7):
+        open_ = common < depth
+        common += open_ & (data[np.where(open_, x + common, 0)] == data[np.where(open_, y + common, 0)])
+    # what the widths do not add up to: equal ranks by `have` bytes at both ends are equal depths
+    common[(rank[x] == rank[y]) & (last[order[:-1]] == last[order[1:]])] = depth
+    common[group[order[:-1]] != group[order[1:]]] = 0
+    return order, np.concatenate((np.zeros(1, np.int64), common))[: len(order)]
+
+
+def previous_smaller(value: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the last place before it that holds a smaller value (-1 if none does), and the least of `common` on the way from there.
+
+    All places at once: each points to the one before it; while it finds a larger value there it goes on to where that
+    one points to, whose way is added to its own.
+    """
+    to, least = np.arange(len(value)) - 1, common.copy()
+    open_ = np.flatnonzero(to >= 0)
+    while len(open_ := open_[(to[open_] >= 0) & (value[to[open_]] > value[open_])]):
+        via = to[open_]
+        far, way = to[via], np.minimum(least[open_], least[via])
+        to[open_], least[open_] = far, way
+    least[to < 0] = 0
+    return to, least
+
+
+def longest_previous_factor(data: np.ndarray, starts: np.ndarray, group: np.ndarray, depth: int) -> np.ndarray:
+    """For each start the longest string, up to depth bytes, that begins there and at an earlier start of its group: the longer of what it shares with the previous and the next smaller start in suffix order."""
+    order, common = suffix_order(data, starts, group, depth)
+    at = starts[order]
+    _, before = previous_smaller(at, common)
+    # the same from the other end; there, what lies between two places is listed at the earlier one
+    _, after = previous_smaller(at[::-1], np.concatenate((common[1:], common[:1] * 0))[::-1])
+    out = np.zeros(len(starts), np.int64)
+    out[order] = np.maximum(before, after[::-1])
+    return out
 
 
 def repeated_windows(slices: list[bytes], group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,13 +238,8 @@ def repeated_windows(slices: list[bytes], group: np.ndarray, length: int) -> tup
     counts = lens - length + 1
     number = np.repeat(np.arange(len(slices)), counts)
     offset = np.arange(len(number)) - np.repeat(np.cumsum(counts) - counts, counts)
-    starts = begin[number] + offset
-    rank = suffix_ranks(data, starts, length)
-    # suffix order; ties by start, so that the previous smaller start of a class is the entry before
-    order = np.lexsort((starts, group[number], rank))
-    r, g = rank[order], group[number][order]
-    earlier = np.concatenate(([False], (r[1:] == r[:-1]) & (g[1:] == g[:-1])))
-    found = np.sort(order[earlier])
+    lpf = longest_previous_factor(data, begin[number] + offset, group[number], length)
+    found = np.flatnonzero(lpf >= length)
     return number[found], offset[found]
 
 
