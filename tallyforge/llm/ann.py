@@ -2,24 +2,28 @@
 
 Each curve projects the vectors on a few random orthogonal directions, squeezes and shifts the coordinates, and orders
 the vectors by their place on a Hilbert curve through those. All curves are range-partitioned by (curve, place) in one
-go, which numbers the vectors along each curve. A curve is cut into SLICES slices; a query meets the vectors of its
-own and both neighbouring slices of every curve, so at least 1/SLICES of all vectors on either side of it. What the
-curves find is merged and ranked by the exact distance in double precision.
+go, which numbers the vectors along each curve. A curve is cut into slices of BLOCK vectors; a query meets the vectors
+of its own and both neighbouring slices of every curve. What the curves find is merged and ranked by the exact
+distance in double precision.
+
+Reading outward: where the curves do not agree, a query's slices are doubled and it reads again. The stopping rule
+takes the curves as independent looks at the same neighbours, as in capture and recapture: if each neighbour is met by
+a curve with chance p, those that are met at all are met c * p / (1 - (1 - p)^c) times in the mean. A query stops when
+the mean over its k nearest so far reaches the number that belongs to a share of FOUND met at all, or when its slices
+cover the curves. Vectors in clusters stop in the first round, so that the work for a query does not grow with the
+rows. Vectors without clusters, as in the test tables, have neighbours that are hardly nearer than the rest; there
+the slices grow with the rows, and so does the work for a query. `compared` says how many vectors a query met.
 
 Equal vectors are one point of the index, kept with its k + 1 smallest ids (enough for any answer, as a query leaves
 out its own id only), so copies, however many, make no large group.
 
-The window is a share of the vectors, not a number: in data without clusters (as vectors drawn at random) neighbours
-are hardly nearer than the rest, and the share that must be read for a given recall does not shrink as the data
-grow. 16 curves of 1/40 find over 0.9 there. Clustered data do with more slices. Queries against slices is work for
-each query in proportion to the rows, done in blocks; vectors are sent once for each curve.
-
 Fitted: centre and spread of the projections, on the SAMPLE points with the smallest hash of their id. All rows are
 indexed.
 
 Cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without id and
-vectors whose length is not the most common one (of equally common ones, the largest). Ties go to the smaller id.
-Repeated rows (same id and vector) count once. Fewer candidates than k: all of them. No rows: no rows.
+vectors whose length is not the most common one (of equally common ones, the largest). Vectors of any length are
+taken whole. Ties go to the smaller id. Repeated rows (same id and vector) count once. Fewer candidates than k: all of
+them. No rows: no rows. Columns other than vec_id and embedding are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +38,9 @@ from pyspark.sql import functions as F
 
 from .common import releasing, stage
 
-CURVES, SLICES, DIMS, BITS, SAMPLE = 16, 40, 8, 4, 10_000
+CURVES, BLOCK, DIMS, BITS, SAMPLE = 16, 256, 8, 4, 10_000
+#: Share of the neighbours that the curves together shall have met.
+FOUND = 0.95
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -160,7 +166,7 @@ def _nearest(k: int):
             if not len(batch):
                 continue
             x, uid, query = _matrix(batch.column("vec")), batch.column("uid").to_numpy(), batch.column("query").to_numpy(zero_copy_only=False)
-            key = batch.column("curve").to_numpy() * np.int64(1 << 20) + batch.column("slice").to_numpy()
+            key = batch.column("curve").to_numpy() * np.int64(1 << 48) + batch.column("slice").to_numpy()
             cut = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (query[1:] != query[:-1]))))
             for a, b in zip(cut, [*cut[1:], len(key)], strict=True):
                 if key[a] != here:
@@ -179,20 +185,24 @@ def _nearest(k: int):
     return run
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 10, curves: int = CURVES, slices: int = SLICES, dims: int = DIMS, bits: int = BITS) -> DataFrame:
-    """vectors: vec_id, embedding. Returns query_id, rank, vec_id, score for the rows for which `queries` holds."""
+def enough_looks(curves: int, found: float) -> float:
+    """How often a neighbour that was met at all is met in the mean by `curves` looks that together meet the share `found`."""
+    return curves * (1 - (1 - found) ** (1 / curves)) / found
+
+
+def search(vectors: DataFrame, queries: Column, k: int = 10, curves: int = CURVES, block: int = BLOCK, dims: int = DIMS, bits: int = BITS, found: float = FOUND) -> DataFrame:
+    """vectors: vec_id, embedding. Returns query_id, rank, vec_id, score, compared for the rows for which `queries` holds."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vec"), queries.alias("asks"))
     rows = rows.where(F.col("vec_id").isNotNull() & _usable(F.col("vec")))
     common = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     if common is None:
-        return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
+        return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("compared"))
     rows = rows.where(F.size("vec") == common["n"])
     order = Window.partitionBy("vec").orderBy("vec_id")
     least = rows.select("vec", "vec_id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
     points = stage(least.groupBy("vec").agg(F.min("vec_id").alias("uid"), F.collect_set("vec_id").alias("ids")).select("uid", "ids", "vec"), "points")
     n = points.count()
-    slices = max(1, min(slices, n // (4 * k + 4)))  # few points: larger slices
     asked = stage(rows.where("asks").select("vec_id", "vec").distinct().join(points.select("uid", "vec"), "vec").select(F.col("vec_id").alias("query_id"), F.col("uid").alias("query")), "asked")
 
     sample = points.select("vec", "uid").orderBy(F.xxhash64("uid"), "uid").limit(SAMPLE).toArrow()
@@ -205,15 +215,47 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, curves: int = CURVE
     offsets = dict(zip([r["part"] for r in sizes], np.cumsum([0, *(r["n"] for r in sizes)]).tolist(), strict=False))
     offset = F.element_at(F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv]), F.col("part"))
     number = offset + F.col("at")
-    placed = along.select("uid", F.floor(number / n).cast("int").alias("curve"), F.floor(number % n * slices / n).cast("int").alias("slice"))
-    near = F.explode(F.sequence(F.greatest(F.col("slice") - 1, F.lit(0)), F.least(F.col("slice") + 1, F.lit(slices - 1))))
-    ask = placed.join(asked.select(F.col("query").alias("uid")).distinct(), "uid", "left_semi").select("uid", "curve", near.alias("slice"), F.lit(True).alias("query"))
-    both = placed.select("uid", "curve", "slice", F.lit(False).alias("query")).union(ask).join(points.select("uid", "vec"), "uid")
-    both = both.repartition("curve", "slice").sortWithinPartitions("curve", "slice", F.col("query").desc(), "uid").select("curve", "slice", "query", "uid", "vec")
-    found = both.mapInArrow(_nearest(k + 1), "query long, uid long, d double").groupBy("query", "uid").agg(F.min("d").alias("d"))
-    best = Window.partitionBy("query").orderBy("d", "uid")
-    found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
-    found = found.join(points.select("uid", "ids"), "uid").select("query", "d", F.explode("ids").alias("vec_id"))
-    found = asked.join(found, "query").where("vec_id <> query_id")
+    placed = along.select("uid", F.floor(number / n).cast("int").alias("curve"), (number % n).alias("at"))
+    homes = stage(placed.join(asked.select(F.col("query").alias("uid")).distinct(), "uid", "left_semi"), "homes")
+
+    looks, size, active, results = enough_looks(curves, found), block, None, []
+    while True:
+        last = (n - 1) // size
+        here = homes if active is None else homes.join(active, homes["uid"] == active["query"], "left_semi")
+        met = _met(points, placed, here, size, last, n, k, whole=active is None)
+        met = stage(met, "met")
+        if last <= 1:  # the slices cover the curves
+            results.append(met)
+            break
+        agreed = met.where("uid <> query").groupBy("query").agg(F.avg("curves").alias("looks")).where(F.col("looks") >= looks).select("query")
+        agreed = stage(agreed, "agreed")
+        results.append(met.join(agreed, "query", "left_semi"))
+        active = stage((asked.select("query").distinct() if active is None else active).join(agreed, "query", "left_anti"), "active")
+        if not active.limit(1).count():
+            break
+        size *= 2
+    best = results[0]
+    for more in results[1:]:
+        best = best.union(more)
+    best = best.join(points.select("uid", "ids"), "uid").select("query", "d", "compared", F.explode("ids").alias("vec_id"))
+    best = asked.join(best, "query").where("vec_id <> query_id")
     final = Window.partitionBy("query_id").orderBy("d", "vec_id")
-    return found.select("query_id", F.row_number().over(final).alias("rank"), "vec_id", F.col("d").alias("score")).where(F.col("rank") <= k)
+    return best.select("query_id", F.row_number().over(final).alias("rank"), "vec_id", F.col("d").alias("score"), "compared").where(F.col("rank") <= k)
+
+
+def _met(points: DataFrame, placed: DataFrame, homes: DataFrame, size: int, last: int, n: int, k: int, whole: bool) -> DataFrame:
+    """query, uid, d, curves (how many met it), compared: the k + 1 nearest of what each query meets in slices of `size` vectors, numbered 0 to last. whole: most slices are asked for, so none is looked up first."""
+    cut = F.floor(F.col("at") / size).cast("long")
+    near = F.explode(F.sequence(F.greatest(F.col("slice") - 1, F.lit(0)), F.least(F.col("slice") + 1, F.lit(last))))
+    ask = homes.select("uid", "curve", cut.alias("slice")).select("uid", "curve", near.alias("slice"))
+    held = placed.select("uid", "curve", cut.alias("slice"))
+    if not whole:
+        held = held.join(ask.select("curve", "slice").distinct(), ["curve", "slice"], "left_semi")
+    both = held.select("uid", "curve", "slice", F.lit(False).alias("query")).union(ask.select("uid", "curve", "slice", F.lit(True).alias("query"))).join(points.select("uid", "vec"), "uid")
+    both = both.repartition("curve", "slice").sortWithinPartitions("curve", "slice", F.col("query").desc(), "uid").select("curve", "slice", "query", "uid", "vec")
+    hits = both.mapInArrow(_nearest(k + 1), "query long, uid long, d double").groupBy("query", "uid").agg(F.min("d").alias("d"), F.count("*").alias("curves"))
+    order = Window.partitionBy("query").orderBy("d", "uid")
+    hits = hits.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n")
+    length = F.least(F.lit(size), F.lit(n) - F.col("slice") * size)
+    compared = ask.groupBy(F.col("uid").alias("query")).agg(F.sum(length).cast("long").alias("compared"))
+    return hits.join(compared, "query").select("query", "uid", "d", "curves", "compared")

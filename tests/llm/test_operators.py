@@ -124,6 +124,25 @@ def test_suffix_dedup(docs, rows, none):
     assert suffix_dedup.dedup(none).count() == 0
 
 
+def test_longest_previous_factors():
+    rng = random.Random(1)
+    for _ in range(60):
+        depth, text = rng.choice([8, 9, 17, 40, 100]), bytes(rng.choice(b"ab") for _ in range(300))
+        slices = []
+        for _ in range(rng.randint(1, 6)):
+            at, n = rng.randint(0, 150), depth + rng.randint(0, 30)
+            s = bytearray(text[at : at + n])
+            s[rng.randrange(n)] = rng.choice(b"abc")
+            slices.append(bytes(s))
+        group = np.array([rng.randint(0, 1) for _ in slices])
+        raw, begin = b"".join(slices), np.cumsum([0, *map(len, slices)])
+        starts, groups = (np.array(z) for z in zip(*[(begin[i] + o, group[i]) for i, s in enumerate(slices) for o in range(len(s) - depth + 1)], strict=True))
+        got = suffix_dedup.longest_previous_factor(np.frombuffer(raw, np.uint8), starts, groups, depth)
+        common = lambda a, b, raw=raw, depth=depth: next((i for i in range(depth) if raw[a + i] != raw[b + i]), depth)
+        for k in range(0, len(starts), 7):
+            assert got[k] == max((common(starts[k], starts[j]) for j in range(len(starts)) if groups[j] == groups[k] and starts[j] < starts[k]), default=0)
+
+
 def test_suffix_dedup_repeated_ids_and_bytes(spark):
     t = "0123456789" * 15
     d = spark.createDataFrame([(1, t), (1, t), (None, t)], "doc_id long, text string")
@@ -158,6 +177,20 @@ def test_line_dedup(docs, rows, none):
     assert line_dedup.dedup(none).count() == 0
 
 
+def test_line_dedup_replaces_clashing_columns(spark):
+    d = spark.createDataFrame([(1, "a\nb\nc\nd", 9, 8), (2, "x\na\nb\nc\nd", 9, 8)], ["doc_id", "text", "n_runs", "a.b"])
+    got = sorted(line_dedup.dedup(d).collect(), key=lambda r: r.doc_id)
+    assert [(r.text, r["a.b"], r.n_runs) for r in got] == [("a\nb\nc\nd", 8, 0), ("x", 8, 1)] and got[0].__fields__.count("n_runs") == 1
+
+
+def test_line_dedup_of_long_runs_at_any_place(spark):
+    rng = random.Random(12)
+    rows = [(i, "\n".join(rng.choice("abcd") for _ in range(rng.randint(0, 40)))) for i in range(60)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    want = lines_wanted(rows)
+    assert got == {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want[d]) for d, t in rows}
+
+
 def test_line_dedup_within_a_document(spark):
     d = spark.createDataFrame([(1, "a\nb\nc\nx\n\na\nb\nc\ny")], "doc_id long, text string")
     r = line_dedup.dedup(d).first()
@@ -407,6 +440,22 @@ def test_ann(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
 
 
+def test_ann_reads_little_of_clustered_vectors(spark):
+    """Work for a query grows slower than the rows, and the neighbours are found."""
+    rng, share = np.random.default_rng(5), []
+    for n in (3000, 12000):
+        x = (rng.normal(size=(n // 30, 24))[rng.integers(0, n // 30, n)] * 4 + rng.normal(size=(n, 24)) * 0.3).astype(np.float32)
+        got = ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0, block=32).toPandas()
+        y, hits = x.astype(np.float64), 0
+        for q, g in got.groupby("query_id"):
+            d = ((y - y[q]) ** 2).sum(1)
+            d[q] = np.inf
+            hits += len(set(np.argsort(d, kind="stable")[:10]) & set(g.vec_id))
+        assert hits >= 0.9 * 10 * (n // 100)
+        share.append(got.groupby("query_id").compared.first().mean() / n)
+    assert share[1] < share[0] / 2
+
+
 def test_hilbert_visits_neighbours():
     grid = np.array([(i, j, k) for i in range(8) for j in range(8) for k in range(8)])
     place = ann.hilbert(grid, 3)
