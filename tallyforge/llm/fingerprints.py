@@ -12,7 +12,8 @@ Neighbours: `with_next` pairs each document with the following one in descending
 rows in one place. The documents are dealt by ranges of doc_id (quantiles, so many numbers as ranges), each range is
 sorted and read in a stream, and the first document of each range goes to the range before it as well.
 
-Cases: null text counts as empty. A text without words has the empty fingerprint, like only to itself (1, else 0).
+Cases: null text counts as empty. Very long texts are read whole. Columns other than doc_id and text are not read. No
+rows: no rows. A text without words has the empty fingerprint, like only to itself (1, else 0).
 Null doc_ids come last; equal doc_ids follow their text's hash. One document only is its own neighbour.
 """
 
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,10 +105,12 @@ def dealt_by_range(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with span and extra: sorted spans of descending doc_id; extra rows hold the next span's first document."""
     spark = docs.sparkSession
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n)) - {None})
-    larger = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c > F.col("doc_id")))
+    cuts = sorted(set(docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n)) - {None}) or [0.0]
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("span", F.when(F.col("doc_id").isNull(), n).otherwise(larger).cast("int"))
+    # a binary search for each row; equal ids fall into one span, the largest ones into span 0
+    place = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_id", outputCol="_place", handleInvalid="keep")
+    docs = place.transform(docs.withColumn("_id", F.col("doc_id").cast("double")))
+    docs = docs.select("doc_id", "text", F.when(F.col("doc_id").isNull(), n).otherwise(len(cuts) - F.col("_place")).cast("int").alias("span"))
     heads = sorted((r[0], r[1]) for r in docs.groupBy("span").agg(F.max("doc_id")).collect())  # one row for each span
     before = {head: (heads[i - 1][0], i) for i, (_, head) in enumerate(heads)}
     named = [h for h in before if h is not None]

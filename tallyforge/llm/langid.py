@@ -5,10 +5,13 @@ lower-cased letters, predicts that bit. Decoding weighs the loss of every bit by
 the training texts and takes the language whose codeword loses least; the losses also give a score from 0 to 1.
 A text is ambiguous when the runner-up comes close.
 
-Training: at most SAMPLE documents of each language (those with the smallest hash of doc_id), whole texts. The
-bound is the parameter `sample`; nothing else is bounded. The features of that sample, some 8192 small numbers for
-each document, come to the driver, where each bit's ridge regression is solved in closed form. The model, bits x
-8192 numbers, goes out with the function. Prediction sees the text alone.
+Training: at most SAMPLE documents of each language, and MOST / languages where there are more than MOST / SAMPLE
+languages (those with the smallest hash of doc_id), whole texts. The bounds are the parameters `sample` and `most`;
+nothing else is bounded. Rows that cannot be among them, by their hash and the language's count, are left out before
+the languages are grouped, so that a language of a third of all rows makes no large group. The features of the
+sample, some 8192 small numbers for each document, come to the driver, where each bit's ridge regression is solved in
+closed form on a matrix of MOST x MOST at most. The model, bits x 8192 numbers, goes out with the function. Prediction
+sees the text alone.
 
 Cases: null texts and texts without a letter are `und` with score 0. Empty training data: all are `und`. One
 language only: all texts with a letter get it, score 1. A null doc_id is never held out and never learned from.
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import freed, releasing, small_batches
 
 DIM = 1 << 13
-SAMPLE = 400
+SAMPLE, MOST = 400, 4800
 RIDGE = 0.05
 #: The runner-up's score over the best one's from which a text counts as ambiguous.
 CLOSE = 0.8
@@ -103,9 +106,17 @@ def solve(langs: list[str], x: np.ndarray, y: np.ndarray) -> Model:
     return Model(langs, weights.astype(np.float32), (centre - mean @ weights).astype(np.float32), scale.astype(np.float32), np.clip(1 - 2 * wrong, 0.01, None).astype(np.float32))
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE, text: str = "text", lang: str = "lang") -> Model:
+def train(labelled: DataFrame, sample: int = SAMPLE, most: int = MOST, text: str = "text", lang: str = "lang") -> Model:
     """Learn from labelled (doc_id, text, lang): rows without doc_id, text or lang, or without a letter, teach nothing."""
-    usable = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col("doc_id").isNotNull())
+    named = labelled.where(F.col(lang).isNotNull() & F.col("doc_id").isNotNull())
+    usable = named.where(F.col(text).isNotNull())
+    counts = {r[0]: r[1] for r in named.groupBy(lang).count().collect()}  # a row for each language
+    sample = max(1, min(sample, most // max(1, len(counts))))
+    # rows with small hashes, four times as many as are wanted and some more: the smallest ones are among them
+    share = {k: min(1.0, (4 * sample + 50) / n) for k, n in counts.items()}
+    if share:
+        limit = F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col(lang))
+        usable = usable.where(F.col(lang).isin(*share) & (F.xxhash64("doc_id").cast("double") <= (limit * 2.0**64 - 2.0**63)))
     first = Window.partitionBy("_lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = usable.select("doc_id", F.col(lang).alias("_lang")).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= sample)
     chosen = [r[0] for r in ids.select("doc_id").distinct().collect()]  # sample x languages at most

@@ -104,7 +104,7 @@ def signatures(h: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
     if len(rare) >= need:
         return rare[:need]
     out, often, need = [rare], h[often], need - len(rare)
-    for band in {n.bit_length(), (100 * n // percent).bit_length()}:
+    for band in range(n.bit_length(), (100 * n // percent).bit_length() + 1):  # sizes of all sets that may link to this one as the larger
         kind = (mix(often * _D) % np.uint64(max(1, (1 << band - 1) // 12))).astype(np.int64)
         first = np.zeros(len(kind), bool)
         first[np.unique(kind, return_index=True)[1]] = True

@@ -7,7 +7,8 @@ holds the payload in a response record, the others are revisit records that refe
 grouped and joined to find them, so a payload that a third of all pages share makes no large group; pages meet
 their reference by page_id.
 
-Reading: each file is read by one task, record by record. A record of any type counts if its member inflates with a
+Reading: each file is read by one task, in blocks, record by record, so that a task holds a record and a few MB, not a
+file; the time is linear in the file. A record of any type counts if its member inflates with a
 right checksum, its block has the stated length, and block and payload have the digests that are stated, by the
 algorithm they name (md5 and the SHAs, in hex or base32; others are not checked). The payload is what follows the HTTP
 headers, or the whole block if it has none; payload_digest is its SHA-256, for revisits the digest they state. The
@@ -16,9 +17,12 @@ hold several records, which have its start and stop. After a failed check the re
 where a valid member or a version line starts, goes on there, and logs the bytes between as a gap. Archives may be
 compressed or not.
 
+Bounds of the reader, beyond which bytes are a gap: records and inflated members of LARGEST bytes, headers of
+MOST_HEADERS bytes.
+
 Cases: null html is an empty payload; null url leaves the header out; a null page_id is never referred to, but may
 refer. Payloads under MIN_REVISIT bytes are always responses. Rows equal in page_id and payload are of one kind.
-Empty tables and files give no rows.
+Empty tables and files give no rows. Columns other than page_id, url and html are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,6 +43,8 @@ from pyspark.sql import functions as F
 from .common import new_dir, releasing, stage
 
 SEGMENT = 16 << 20
+#: Bytes read at a time, and kept ahead of a record's start; the most that a record, or a member inflated, may have; and that a record's headers may.
+BLOCK, AHEAD, LARGEST, MOST_HEADERS = 4 << 20, 1 << 10, 1 << 30, 1 << 20
 MIN_REVISIT = 100
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -94,18 +100,18 @@ def _headers(head: bytes) -> dict[str, str]:
 def _parse(data: bytes, at: int) -> tuple[dict, int]:
     """The record that starts at `at`, and where it ends. Raises ValueError if a check fails."""
     if not data.startswith(b"WARC/1.", at):
-        raise ValueError("no version line")
-    if (end := data.find(b"\r\n\r\n", at)) < 0:
-        raise ValueError("headers do not end")
-    h = _headers(data[at:end])
+        raise (Cut if b"WARC/1.".startswith(data[at : at + 7]) else ValueError)("no version line")
+    if (end := data.find(b"\r\n\r\n", at, at + MOST_HEADERS)) < 0:
+        raise (Cut if len(data) < at + MOST_HEADERS else ValueError)("headers do not end")
+    h = _headers(bytes(data[at:end]))
     if not (size := h.get("content-length", "")).isdigit():
         raise ValueError("no content length")
     stop = end + 4 + int(size)
     if data[stop : stop + 4] != b"\r\n\r\n":
-        raise ValueError("block and length differ")
+        raise (Cut if stop + 4 > len(data) else ValueError)("block and length differ")
     if not re.fullmatch("[A-Za-z0-9!#$%&'*+.^_`|~-]+", kind := h.get("warc-type", "")):
         raise ValueError("no record type")
-    block = data[end + 4 : stop]
+    block = bytes(data[end + 4 : stop])
     if not _holds(h.get("warc-block-digest"), block):
         raise ValueError("block and digest differ")
     head, payload = b"", block
@@ -156,48 +162,99 @@ def _joined(body: bytes) -> bytes:
     return b"".join(out)
 
 
+class Cut(ValueError):
+    """A check that failed where the bytes at hand end: more of them may mend it."""
+
+
+class Feed:
+    """A file's bytes from `base` on, as far as they have been read; read gives the next bytes, none at the end."""
+
+    def __init__(self, read: Callable[[int], bytes]):
+        self.read, self.data, self.base, self.ended = read, bytearray(), 0, False
+
+    @classmethod
+    def of(cls, data: bytes) -> Feed:
+        feed = cls(lambda n: b"")
+        feed.data, feed.ended = data, True
+        return feed
+
+    def more(self) -> None:
+        """As many bytes again as there are, BLOCK at least."""
+        block = self.read(max(BLOCK, len(self.data)))
+        self.ended = not block
+        self.data += block
+
+    def drop(self, to: int) -> None:
+        """Forget what lies before `to`, once that is worth a move."""
+        if to - self.base >= BLOCK and not isinstance(self.data, bytes):
+            del self.data[: to - self.base]
+            self.base = to
+
+
 def _at(data: bytes, at: int) -> tuple[list[dict], int]:
     """The records that start at `at`, several in a gzip member; gaps inside a member are among them."""
     if not data.startswith(b"\x1f\x8b", at):
         rec, stop = _parse(data, at)
         return [rec], stop
-    z = zlib.decompressobj(31)
-    try:
-        plain = z.decompress(memoryview(data)[at:])
-    except zlib.error as e:
-        raise ValueError(f"member: {e}") from e
-    if not z.eof:
-        raise ValueError("member is cut off")
-    found = [{k: v for k, v in r.items() if k not in ("start", "stop")} for r in _scan(plain, lambda d, i: (lambda rec, stop: ([rec], stop))(*_parse(d, i)), _VERSION)]
+    # in steps, so that what follows the member is not copied for each
+    z, plain, stop, step = zlib.decompressobj(31), [], at, 1 << 12
+    with memoryview(data) as view:
+        while not z.eof:
+            if stop == len(data):
+                raise Cut("member is cut off")
+            if sum(map(len, plain)) > LARGEST:
+                raise ValueError("member is too large")
+            try:
+                plain.append(z.decompress(view[stop : stop + step]))
+            except zlib.error as e:
+                raise ValueError(f"member: {e}") from e
+            stop, step = min(len(data), stop + step) - len(z.unused_data), min(2 * step, 1 << 18)
+    found = [{k: v for k, v in r.items() if k not in ("start", "stop")} for r in _scan(Feed.of(b"".join(plain)), _one, _VERSION)]
     if all("fault" in r for r in found):
         raise ValueError(found[0]["fault"] if found else "member is empty")
-    return found, len(data) - len(z.unused_data)
+    return found, stop
+
+
+def _one(data: bytes, at: int) -> tuple[list[dict], int]:
+    rec, stop = _parse(data, at)
+    return [rec], stop
 
 
-def salvage(data: bytes) -> Iterator[dict]:
-    """Records with start and stop, and gaps: start, stop and the fault that was found at the start."""
-    return _scan(data, _at, _START)
+def salvage(data: bytes | Callable[[int], bytes]) -> Iterator[dict]:
+    """Records with start and stop, and gaps: start, stop and the fault that was found at the start. data: bytes, or a function that gives the next n bytes of a file."""
+    return _scan(Feed(data) if callable(data) else Feed.of(data), _at, _START)
 
 
-def _scan(data: bytes, read: Callable[[bytes, int], tuple[list[dict], int]], begin: re.Pattern) -> Iterator[dict]:
+def _scan(feed: Feed, read: Callable[[bytes, int], tuple[list[dict], int]], begin: re.Pattern) -> Iterator[dict]:
     at, gap, fault = 0, None, ""
-    while at < len(data):
+    while True:
+        feed.drop(at)
+        while not feed.ended and at + AHEAD > feed.base + len(feed.data):
+            feed.more()
+        here = at - feed.base
+        if here >= len(feed.data):
+            break
         try:
-            recs, stop = read(data, at)
+            recs, stop = read(feed.data, here)
         except ValueError as e:
+            if isinstance(e, Cut) and not feed.ended and len(feed.data) - here <= LARGEST:
+                feed.more()
+                continue
             if gap is None:
                 gap, fault = at, str(e)
-            found = begin.search(data, at + 1)
-            at = found.start() if found else len(data)
+            found = begin.search(feed.data, here + 1)
+            # a start may lie across the end of what has been read
+            at = feed.base + (found.start() if found else len(feed.data) if feed.ended else max(here + 1, len(feed.data) - 16))
             continue
         if gap is not None:
             yield {"start": gap, "stop": at, "fault": fault}
             gap = None
+        stop += feed.base
         for rec in recs:
             yield rec | {"start": at, "stop": stop}
         at = stop
     if gap is not None:
-        yield {"start": gap, "stop": len(data), "fault": fault}
+        yield {"start": gap, "stop": feed.base + len(feed.data), "fault": fault}
 
 
 def _rows(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
@@ -253,15 +310,14 @@ def read_archives(manifest: DataFrame, payload: bool = False) -> DataFrame:
         for batch in it:
             for path in batch.column("path").to_pylist():
                 system, name = fs.FileSystem.from_uri(path)
-                with system.open_input_stream(name, compression=None) as f:
-                    data = f.read()
                 rows, held = [], 0
-                for r in salvage(data):
-                    held += len(r.get("payload") or b"") if payload else 0
-                    rows.append({k: v for k, v in r.items() if payload or k != "payload"} | {"path": path})
-                    if len(rows) >= 2000 or held >= SEGMENT:
-                        yield _rows(rows, _RECORDS)
-                        rows, held = [], 0
+                with system.open_input_stream(name, compression=None) as f:
+                    for r in salvage(f.read):
+                        held += len(r.get("payload") or b"") if payload else 0
+                        rows.append({k: v for k, v in r.items() if payload or k != "payload"} | {"path": path})
+                        if len(rows) >= 2000 or held >= SEGMENT:
+                            yield _rows(rows, _RECORDS)
+                            rows, held = [], 0
                 yield _rows(rows, _RECORDS)
 
     return manifest.select("path").repartition(max(1, manifest.count())).mapInArrow(read, RECORDS)

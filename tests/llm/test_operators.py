@@ -5,6 +5,7 @@ import datetime
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -107,6 +108,19 @@ def test_signatures_find_every_link():
         assert np.intersect1d(ngram_join.signatures(x, bits, 80), ngram_join.signatures(y, bits, 80)).size
 
 
+@pytest.mark.parametrize("percent", [20, 30, 40, 60])
+def test_signatures_find_links_of_low_thresholds(percent):
+    """Nested sets of all sizes that may link, all of their tokens frequent."""
+    rng, bits, linked = np.random.default_rng(percent), np.full((1 << 20) // 8, 255, np.uint8), 0
+    for _ in range(250):
+        y = np.unique(rng.integers(0, 1 << 63, int(rng.integers(8, 300)), np.uint64))
+        x = np.sort(rng.choice(y, int(rng.integers(max(4, len(y) * percent // 100), len(y))), replace=False))
+        if 100 * len(x) >= percent * len(y):
+            linked += 1
+            assert np.intersect1d(ngram_join.signatures(x, bits, percent), ngram_join.signatures(y, bits, percent)).size
+    assert linked > 100
+
+
 def test_suffix_dedup(docs, rows, none):
     seen, want = set(), {}
     for d, t in sorted((r[0], r[1]) for r in rows):
@@ -284,6 +298,55 @@ def test_warc_salvage(packed):
     assert list(warc.salvage(b"")) == []
 
 
+def test_warc_reads_in_blocks(monkeypatch):
+    """Records and gaps are the same whatever the size of the blocks, and nothing is read twice."""
+    rng, whole = random.Random(4), []
+    for i in range(40):
+        body = f"page {i} WARC/1.1\r\n{prose(rng, rng.randint(0, 300))}".encode() * rng.randint(1, 5)
+        rec = warc.record(i, "u", body, hashlib.sha256(body).hexdigest())
+        rec = rec[:-9] + b"\0\0" + rec[-7:] if i % 9 == 4 else rec
+        whole.append(warc.member(rec) if i % 3 else rec)
+    data = b"".join(whole) + whole[0][:30]
+    want = list(warc.salvage(data))
+    assert sum("fault" not in r for r in want) >= 36 and sum("fault" in r for r in want) == 5
+    for block, ahead in ((1, 1), (7, 3), (64, 16), (5000, 1024), (1 << 22, 1 << 10)):
+        monkeypatch.setattr(warc, "BLOCK", block)
+        monkeypatch.setattr(warc, "AHEAD", ahead)
+        at = 0
+
+        def read(n):
+            nonlocal at
+            part = data[at : at + n]
+            at += len(part)
+            return part
+
+        assert list(warc.salvage(read)) == want
+
+
+def test_warc_is_linear():
+    body = b"x" * 2000
+    one = warc.member(warc.record(1, "u", body, hashlib.sha256(body).hexdigest()))
+
+    def took(n):
+        began = time.process_time()
+        assert sum(1 for _ in warc.salvage(one * n)) == n
+        return time.process_time() - began
+
+    took(200)
+    assert took(8000) < 16 * took(1000)
+
+
+def test_warc_salvage_in_spark(spark, tmp_path):
+    body = "päge".encode() * 100
+    good = warc.member(foreign("response", b"HTTP/1.1 200 OK\r\n\r\n" + body, "Content-Type: application/http; msgtype=response"))
+    (tmp_path / "a.warc.gz").write_bytes(good + good[:40] + good)
+    (tmp_path / "b.warc.gz").write_bytes(b"")
+    files = spark.createDataFrame([(f"file://{tmp_path}/{n}.warc.gz", 0, 0) for n in "ab"], warc.MANIFEST)
+    got = warc.read_archives(files, payload=True).orderBy("start").collect()
+    assert [(r.start, r.stop, r.fault is None) for r in got] == [(0, len(good), True), (len(good), len(good) + 40, False), (len(good) + 40, 2 * len(good) + 40, True)]
+    assert {bytes(r.payload) for r in got if r.payload} == {body} and got[1].record_type is None
+
+
 def foreign(kind, block, *head):
     return "\r\n".join(["WARC/1.0", f"WARC-Type: {kind}", *head, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -332,6 +395,29 @@ def test_language_id(spark, none):
     assert {r.lang_id.lang for r in langid.identify(d, langid.train(d.where("lang = 'aa'"))).collect()} == {"aa", "und"}
 
 
+def test_language_id_of_a_bounded_sample(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(["shing", "thand", "other"] if i % 3 else ["eauque", "lesdes", "nous"]) for _ in range(9)), "aa" if i % 3 else "bb") for i in range(3000)]
+    d = spark.createDataFrame([*rows, *rows[:9]], "doc_id long, text string, lang string")
+    for sample, most in ((20, 4800), (400, 40)):
+        model = langid.train(d, sample, most)
+        got = langid.identify(d.withColumn("lang_id", F.lit(1)), model).collect()
+        assert all(r.lang_id.lang == r.lang for r in got) and len(got) == 3009
+
+
+def test_language_id_by_hand(spark):
+    """The decoder against a plain version of it."""
+    rng = np.random.default_rng(3)
+    langs = ["a", "b", "c", "d"]
+    m = langid.Model(langs, rng.normal(size=(langid.DIM, 7)).astype(np.float32), rng.normal(size=7), np.abs(rng.normal(size=7)), np.abs(rng.normal(size=7)))
+    for text in ("one two", "Ünd so weiter", "xyz " * 500, "ß"):
+        margin = [(float(langid.features(text) @ m.weights[:, b]) + m.bias[b]) * m.scale[b] for b in range(7)]
+        loss = [sum(m.trust[b] * np.log1p(np.exp(-2 * langid.codewords(4)[i][b] * margin[b])) for b in range(7)) for i in range(4)]
+        p = np.exp(-np.array(loss)) / np.exp(-np.array(loss)).sum()
+        lang, score, ambiguous = m.predict(text)
+        assert lang == langs[int(p.argmax())] and score == pytest.approx(p.max(), rel=1e-4) and ambiguous == bool(np.sort(p)[-2] >= langid.CLOSE * p.max())
+
+
 def test_codewords_are_apart():
     for n in (2, 3, 4, 6, 9, 30):
         c = langid.codewords(n).astype(int)
