@@ -16,14 +16,15 @@ size (powers of two of the larger set's), which keeps the pairs linear in the si
 3. In each signature's group, every set is held against the group's first (a star, linear in the group), and links
    are closed to components. Then only pairs of a group that lie in different components remain; all of them are
    held against each other, none is skipped. So no link is lost, and near copies by the thousands do not make all
-   their pairs.
+   their pairs. Stars of more than STAR members are dealt over several tasks, each with the group's first.
 4. To hold two sets against each other, first their histograms are compared (tokens in each of 512 classes): what
    they have in common bounds the common tokens from above, and most pairs end there, inside their group's task.
    The whole sets of the rest, read anew, meet at their star's centre. Large stars are dealt over several tasks.
 
 Cases: null text, and text without words, is an empty set, linked with nothing. Fewer words than a shingle make one
 token of the whole. Equal or null doc_ids are told apart (see common.keyed); the component's id is then that of its
-first row. Repeated rows are equal sets. No rows: no rows. Digests of sets have 128 bits, tokens 64.
+first row. Repeated rows are equal sets. No rows: no rows. Columns other than doc_id and text are not read (keep_first
+hands them on, whatever their names). Digests of sets have 128 bits, tokens 64.
 """
 
 from __future__ import annotations
@@ -40,10 +41,11 @@ from pyspark.sql import functions as F
 from .common import SHINGLE_WORDS, components, keyed, mix, releasing, shingle_hashes, stage, tidy
 
 COUNTER_BITS = 20
-CHUNK = 1 << 16
+CHUNK, BLOOM_CHUNK = 1 << 12, 1 << 16
 FEWEST = 32
 STAR = 2048
-BLOOM_BITS = 23
+#: A Bloom filter has eight bits a key, within these powers of two; 2^26 bits are 8 MB. More keys are joined instead.
+LEAST_BITS, MOST_BITS = 20, 26
 BUCKETS = 512
 _A, _B, _C, _D = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
@@ -144,9 +146,9 @@ def _signed(words: int, percent: int, frequent):
     return run
 
 
-def _bloom(keys: DataFrame) -> np.ndarray:
-    """2^23 bits, a bit for each key's hash. Too many keys make it useless, never wrong."""
-    bit = F.pmod(F.xxhash64("key"), F.lit(1 << BLOOM_BITS))
+def _bloom(keys: DataFrame, power: int) -> np.ndarray:
+    """2^power bits, a bit for each key's hash."""
+    bit = F.pmod(F.xxhash64("key"), F.lit(1 << power))
     bits = keys.select(bit.alias("bit")).distinct().withColumn("chunk", F.shiftright("bit", 16).cast("int")).withColumn("bit", F.col("bit").bitwiseAND(0xFFFF).cast("int"))
 
     @releasing
@@ -155,11 +157,11 @@ def _bloom(keys: DataFrame) -> np.ndarray:
         for batch in it:
             bit, chunk = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for c in np.unique(chunk):
-                found.setdefault(int(c), np.zeros(CHUNK, bool))[bit[chunk == c]] = True
+                found.setdefault(int(c), np.zeros(BLOOM_CHUNK, bool))[bit[chunk == c]] = True
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([np.packbits(s).tobytes() for s in found.values()], pa.binary())], names=["chunk", "bits"])
 
-    out = np.zeros((1 << BLOOM_BITS) // 8, np.uint8).reshape(-1, CHUNK // 8)
-    for chunk, b in bits.repartition("chunk").mapInArrow(run, "chunk int, bits binary").collect():  # 128 rows of 8 KB
+    out = np.zeros((1 << power) // 8, np.uint8).reshape(-1, BLOOM_CHUNK // 8)
+    for chunk, b in bits.repartition("chunk").mapInArrow(run, "chunk int, bits binary").collect():  # 1,024 rows of 8 KB at most
         out[chunk] = np.frombuffer(b, np.uint8)
     return out.ravel()
 
@@ -167,10 +169,10 @@ def _bloom(keys: DataFrame) -> np.ndarray:
 def _sets(words: int, bloom, short: bool):
     @releasing
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bloom.value
+        bits = None if bloom is None else bloom.value
         for batch in it:
             bit = batch.column("bit").to_numpy()
-            keep = np.flatnonzero(bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1)
+            keep = np.arange(len(bit)) if bits is None else np.flatnonzero(bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1)
             texts, keys = batch.column("text").take(pa.array(keep)).to_pylist(), batch.column("key").take(pa.array(keep))
             sets = [shingle_hashes(t, words) for t in texts]
             data = [histogram(h) if short else h.tobytes() for h in sets]
@@ -227,10 +229,10 @@ def _candidates(percent: int, star: bool):
 
         out = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *x])) for x in (a_out, b_out)], names=["a", "b"])
         for batch in it:
-            for sig, *row in zip(*(batch.column(c).to_pylist() for c in ("sig", "rep", "n", "comp", "tokens")), strict=True):
-                if sig != here:
+            for sig, salt, *row in zip(*(batch.column(c).to_pylist() for c in ("sig", "salt", "rep", "n", "comp", "tokens")), strict=True):
+                if (sig, salt) != here:
                     close()
-                    here = sig
+                    here = sig, salt
                     if size > 100_000:
                         yield out()
                         a_out, b_out, size = [], [], 0
@@ -265,9 +267,14 @@ def _judge(percent: int):
 
 
 def _read_sets(docs: DataFrame, keys: DataFrame, words: int, short: bool) -> DataFrame:
-    """key, n, tokens of the documents in keys (and of a few more); the texts are not shuffled."""
-    bloom = docs.sparkSession.sparkContext.broadcast(_bloom(keys))
-    bit = F.pmod(F.xxhash64("key"), F.lit(1 << BLOOM_BITS)).alias("bit")
+    """key, n, tokens of the documents in keys (and of a few more). The texts are not shuffled, but for more keys than the largest Bloom filter is for."""
+    keys = stage(keys.distinct(), "keys")
+    power = max(LEAST_BITS, (8 * keys.count()).bit_length())
+    if power > MOST_BITS:
+        docs, power, bloom = docs.join(keys, "key", "left_semi"), LEAST_BITS, None
+    else:
+        bloom = docs.sparkSession.sparkContext.broadcast(_bloom(keys, power))
+    bit = F.pmod(F.xxhash64("key"), F.lit(1 << power)).alias("bit")
     return docs.select("key", "text", bit).mapInArrow(_sets(words, bloom, short), "key long, n long, tokens binary")
 
 
@@ -308,22 +315,27 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = SHINGLE_WOR
     signed = stage(signed, "signed")
     tidy(docs.sparkSession)
     group = signed.groupBy("sig").agg(F.count("*").alias("c"), F.sum(F.expr("cast(xxhash64(rep) as decimal(20,0))")).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x"), F.min("rep").alias("a"))
-    group = group.where("c > 1").groupBy("c", "s", "x", "a").agg(F.min("sig").alias("sig"))
-    groups = stage(signed.join(group.select("sig"), "sig"), "groups")
+    # written tables on both sides of a join let adaptive execution split a signature that many sets have
+    group = stage(group.where("c > 1").groupBy("c", "s", "x", "a").agg(F.min("sig").alias("sig")).select("sig", "c", "a"), "group")
+    groups = stage(signed.join(group, "sig"), "groups")
     tidy(docs.sparkSession)
 
     hist = stage(_read_sets(texts, groups.select(F.col("rep").alias("key")), words, True).withColumnRenamed("key", "rep"), "histograms")
-    star = groups.withColumn("comp", F.lit(0).cast("long")).join(hist, "rep").repartition("sig").sortWithinPartitions("sig", "rep")
-    star = stage(star.select("sig", "rep", "n", "comp", "tokens").mapInArrow(_candidates(percent, True), "a long, b long").distinct(), "star")
+    # each with the group's first; a large group is dealt over several tasks, each of which has the first, too
+    parts = (F.floor(F.col("c") / STAR) + 1).cast("int")
+    members = groups.where("rep <> a").select("sig", "rep", F.pmod(F.xxhash64("rep"), parts).cast("int").alias("salt"), F.lit(1).alias("member"))
+    centres = groups.where("rep = a").select("sig", "rep", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), F.lit(0).alias("member"))
+    star = members.union(centres).withColumn("comp", F.lit(0).cast("long")).join(hist, "rep").repartition("sig", "salt").sortWithinPartitions("sig", "salt", "member", "rep")
+    star = stage(star.select("sig", "salt", "rep", "n", "comp", "tokens").mapInArrow(_candidates(percent, True), "a long, b long").distinct(), "star")
     tidy(docs.sparkSession)
     links = verified(texts, star, words, percent)
     comp = components(links)
 
     # what the stars leave open
-    g = groups.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", F.coalesce("comp", "rep").alias("comp"))
-    several = g.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
-    rest = g.join(several, "sig").join(hist, "rep").repartition("sig").sortWithinPartitions("sig", "n", "rep")
-    rest = rest.select("sig", "rep", "n", "comp", "tokens").mapInArrow(_candidates(percent, False), "a long, b long").distinct()
+    g = stage(groups.select("sig", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", F.coalesce("comp", "rep").alias("comp")), "open")
+    several = stage(g.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig"), "several")
+    rest = g.join(several, "sig", "left_semi").join(hist, "rep").withColumn("salt", F.lit(0)).repartition("sig").sortWithinPartitions("sig", "n", "rep")
+    rest = rest.select("sig", "salt", "rep", "n", "comp", "tokens").mapInArrow(_candidates(percent, False), "a long, b long").distinct()
     more = verified(texts, rest.join(star, ["a", "b"], "left_anti"), words, percent)
     if more.limit(1).count():
         comp = components(links.union(more))

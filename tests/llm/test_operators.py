@@ -88,6 +88,13 @@ def test_ngram_join(docs, rows, none, monkeypatch, fewest):
     assert ngram_join.near_duplicates(none).count() == 0
 
 
+def test_ngram_join_of_dealt_stars_and_joined_keys(docs, rows, monkeypatch):
+    monkeypatch.setattr(ngram_join, "STAR", 2)
+    monkeypatch.setattr(ngram_join, "MOST_BITS", 2)
+    want = components({r[0]: shingles(r[1]) for r in rows})
+    assert {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs).collect()} == want
+
+
 def test_ngram_join_repeated_ids(spark):
     d = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "q r s t u")], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.component_id or -1) for r in ngram_join.near_duplicates(d).collect())
