@@ -87,9 +87,9 @@ atexit.register(release)
 
 
 class _WordHashes(dict):
-    """word -> 64-bit hash; some 10 MB at most, cleared when a task ends."""
+    """word -> 64-bit hash; some 40 MB at most, cleared when a task ends."""
 
-    LIMIT = 1 << 16
+    LIMIT = 1 << 18
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

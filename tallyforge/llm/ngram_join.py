@@ -190,11 +190,11 @@ def histogram(h: np.ndarray) -> bytes:
 def _candidates(percent: int, star: bool):
     """Pairs of a group that can reach the similarity, as their histograms have enough in common.
 
-    star: each with the first, which is the smallest id. Else: those of different components; the group is sorted by
-    size, and only sets near enough in size are looked at.
+    star: each with the first, which is the smallest id. Else: those of different components, one of them at home in
+    this part of the group; it is sorted by size, and only sets near enough in size are looked at.
     """
 
-    def pairs(key: np.ndarray, n: np.ndarray, comp: np.ndarray, hist: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(key: np.ndarray, n: np.ndarray, comp: np.ndarray, home: np.ndarray, hist: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         whole = np.array([len(x) == BUCKETS for x in hist])
         table = np.frombuffer(b"".join(x or bytes(BUCKETS) for x in hist), np.uint8).reshape(-1, BUCKETS)
         a, b = [], []
@@ -204,7 +204,7 @@ def _candidates(percent: int, star: bool):
                 j = j[100 * np.minimum(n[0], n[j]) >= percent * np.maximum(n[0], n[j])]
             else:
                 j = np.arange(np.searchsorted(n, (percent * n[i] + 99) // 100), i)
-                j = j[comp[j] != comp[i]]
+                j = j[(comp[j] != comp[i]) & (home[i] | home[j])]
             if not len(j):
                 continue
             common = np.concatenate([np.minimum(table[i], table[j[k : k + 8192]]).sum(1, dtype=np.int64) for k in range(0, len(j), 8192)])
@@ -221,15 +221,15 @@ def _candidates(percent: int, star: bool):
         def close() -> None:
             nonlocal held, size
             if len(held) > 1:
-                key, n, comp, hist = zip(*held, strict=True)
-                a, b = pairs(np.array(key, np.int64), np.array(n, np.int64), np.array(comp, np.int64), list(hist))
+                key, n, comp, home, hist = zip(*held, strict=True)
+                a, b = pairs(np.array(key, np.int64), np.array(n, np.int64), np.array(comp, np.int64), np.array(home, bool), list(hist))
                 a_out.append(a), b_out.append(b)
                 size += len(a)
             held = []
 
         out = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *x])) for x in (a_out, b_out)], names=["a", "b"])
         for batch in it:
-            for sig, salt, *row in zip(*(batch.column(c).to_pylist() for c in ("sig", "salt", "rep", "n", "comp", "tokens")), strict=True):
+            for sig, salt, *row in zip(*(batch.column(c).to_pylist() for c in ("sig", "salt", "rep", "n", "comp", "home", "tokens")), strict=True):
                 if (sig, salt) != here:
                     close()
                     here = sig, salt
@@ -325,17 +325,22 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = SHINGLE_WOR
     parts = (F.floor(F.col("c") / STAR) + 1).cast("int")
     members = groups.where("rep <> a").select("sig", "rep", F.pmod(F.xxhash64("rep"), parts).cast("int").alias("salt"), F.lit(1).alias("member"))
     centres = groups.where("rep = a").select("sig", "rep", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), F.lit(0).alias("member"))
-    star = members.union(centres).withColumn("comp", F.lit(0).cast("long")).join(hist, "rep").repartition("sig", "salt").sortWithinPartitions("sig", "salt", "member", "rep")
-    star = stage(star.select("sig", "salt", "rep", "n", "comp", "tokens").mapInArrow(_candidates(percent, True), "a long, b long").distinct(), "star")
+    star = members.union(centres).withColumns({"comp": F.lit(0).cast("long"), "home": F.lit(True)}).join(hist, "rep").repartition("sig", "salt").sortWithinPartitions("sig", "salt", "member", "rep")
+    star = stage(star.select("sig", "salt", "rep", "n", "comp", "home", "tokens").mapInArrow(_candidates(percent, True), "a long, b long").distinct(), "star")
     tidy(docs.sparkSession)
     links = verified(texts, star, words, percent)
     comp = components(links)
 
     # what the stars leave open
     g = stage(groups.select("sig", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", F.coalesce("comp", "rep").alias("comp")), "open")
-    several = stage(g.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig"), "several")
-    rest = g.join(several, "sig", "left_semi").join(hist, "rep").withColumn("salt", F.lit(0)).repartition("sig").sortWithinPartitions("sig", "n", "rep")
-    rest = rest.select("sig", "salt", "rep", "n", "comp", "tokens").mapInArrow(_candidates(percent, False), "a long, b long").distinct()
+    # a large group is dealt, too: of the first's component each set is in one part, the others are in all and at home in one
+    several = g.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min_by("comp", "rep").alias("first"), (F.floor(F.count("*") / STAR) + 1).cast("int").alias("parts"))
+    several = stage(several.where("x <> y").select("sig", "first", "parts"), "several")
+    own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    salts = F.when(F.col("comp") == F.col("first"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    rest = g.join(several, "sig").select("sig", "rep", "comp", own.alias("own"), F.explode(salts).alias("salt"))
+    rest = rest.withColumn("home", F.col("salt") == F.col("own")).join(hist, "rep").repartition("sig", "salt").sortWithinPartitions("sig", "salt", "n", "rep")
+    rest = rest.select("sig", "salt", "rep", "n", "comp", "home", "tokens").mapInArrow(_candidates(percent, False), "a long, b long").distinct()
     more = verified(texts, rest.join(star, ["a", "b"], "left_anti"), words, percent)
     if more.limit(1).count():
         comp = components(links.union(more))
