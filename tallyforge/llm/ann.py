@@ -6,7 +6,7 @@ go, which numbers the vectors along each curve. A curve is cut into slices of BL
 of its own and both neighbouring slices of every curve. What the curves find is merged and ranked by the exact
 distance in double precision.
 
-Reading outward: where the curves do not agree, a query's slices are doubled and it reads again. The stopping rule
+Reading outward: where the curves do not agree, a query's slices grow GROWTH-fold and it reads again. The stopping rule
 takes the curves as independent looks at the same neighbours, as in capture and recapture: if each neighbour is met by
 a curve with chance p, those that are met at all are met c * p / (1 - (1 - p)^c) times in the mean. A query stops when
 the mean over its k nearest so far reaches the number that belongs to a share of FOUND met at all, or when its slices
@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 from .common import releasing, stage
 
 CURVES, BLOCK, DIMS, BITS, SAMPLE = 16, 256, 8, 4, 10_000
+#: How much larger slices become from round to round: each round sends every vector once a curve, so few rounds are worth some overshoot.
+GROWTH = 4
 #: Share of the neighbours that the curves together shall have met.
 FOUND = 0.95
 
@@ -233,7 +235,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, curves: int = CURVE
         active = stage((asked.select("query").distinct() if active is None else active).join(agreed, "query", "left_anti"), "active")
         if not active.limit(1).count():
             break
-        size *= 2
+        size *= GROWTH
     best = results[0]
     for more in results[1:]:
         best = best.union(more)
