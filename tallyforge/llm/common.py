@@ -22,6 +22,7 @@ SHINGLE_WORDS = 5
 #: One odd multiplier per word of a shingle, and one seed for sequences shorter than a shingle.
 _WEIGHTS = [np.uint64(x * 2 + 1) for x in (0x4F1BBCDCBFA53E0B, 0x1D8E4E27C47D124F, 0x62A9D9ED799705F5, 0x23EB4C1F3A9D5B67, 0x5851F42D4C957F2D)]
 _SHORT = np.uint64(0x9E3779B97F4A7C15)
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 _staged: list[tuple[SparkSession, str]] = []
 
@@ -58,19 +59,18 @@ def new_dir(spark: SparkSession, tag: str) -> str:
 
 
 def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: cuts the lineage, survives lost executors."""
+    """Write df as Parquet in the shared folder and read it again: cuts the lineage, survives lost executors. The shuffle files of the writing go as it ends."""
     spark = df.sparkSession
     path = new_dir(spark, tag)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Have the driver drop plans that are no longer in use, so that their shuffle files go at once. Called between large steps."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def release() -> None:
     """Delete all staged tables. Call it only when no result that was built on them is still to be computed."""
     while _staged:

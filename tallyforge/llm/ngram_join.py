@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, components, keyed, mix, releasing, shingle_hashes, stage, tidy
+from .common import SHINGLE_WORDS, components, keyed, mix, releasing, shingle_hashes, stage
 
 COUNTER_BITS = 20
 CHUNK, BLOOM_CHUNK = 1 << 12, 1 << 16
@@ -292,7 +292,6 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
     sets = _read_sets(docs, pairs.select(F.col("a").alias("key")).union(pairs.select("b")), words, False)
     stars = sets.join(_wanted(pairs), "key").repartition("a", "salt").sortWithinPartitions("a", "salt", "member", "key")
     out = stage(stars.select("a", "salt", "key", "tokens").mapInArrow(_judge(percent), "a long, b long"), "links")
-    tidy(docs.sparkSession)
     return out
 
 
@@ -313,12 +312,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = SHINGLE_WOR
     signed = signed.withColumn("c", F.expr("count(*) OVER (PARTITION BY sig)")).where("c > 1").select("sig", "key")
     signed = signed.join(copies, "key", "left").select("sig", F.coalesce("rep", "key").alias("rep")).distinct()
     signed = stage(signed, "signed")
-    tidy(docs.sparkSession)
     group = signed.groupBy("sig").agg(F.count("*").alias("c"), F.sum(F.expr("cast(xxhash64(rep) as decimal(20,0))")).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x"), F.min("rep").alias("a"))
     # written tables on both sides of a join let adaptive execution split a signature that many sets have
     group = stage(group.where("c > 1").groupBy("c", "s", "x", "a").agg(F.min("sig").alias("sig")).select("sig", "c", "a"), "group")
     groups = stage(signed.join(group, "sig"), "groups")
-    tidy(docs.sparkSession)
 
     hist = stage(_read_sets(texts, groups.select(F.col("rep").alias("key")), words, True).withColumnRenamed("key", "rep"), "histograms")
     # each with the group's first; a large group is dealt over several tasks, each of which has the first, too
@@ -327,7 +324,6 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = SHINGLE_WOR
     centres = groups.where("rep = a").select("sig", "rep", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), F.lit(0).alias("member"))
     star = members.union(centres).withColumns({"comp": F.lit(0).cast("long"), "home": F.lit(True)}).join(hist, "rep").repartition("sig", "salt").sortWithinPartitions("sig", "salt", "member", "rep")
     star = stage(star.select("sig", "salt", "rep", "n", "comp", "home", "tokens").mapInArrow(_candidates(percent, True), "a long, b long").distinct(), "star")
-    tidy(docs.sparkSession)
     links = verified(texts, star, words, percent)
     comp = components(links)
 
