@@ -1,4 +1,4 @@
-"""Text functions as Columns."""
+"""Text functions as Columns."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Curation of a pool: gates, quotas, weights, verdicts."""
+"""Curation of a pool: gates, quotas, weights, verdicts."""
 
 from __future__ import annotations
 
@@ -78,3 +78,20 @@ def gaps(demand: DataFrame, supply: DataFrame, cell: str, cap: int) -> DataFrame
     j = demand.join(supply, cell, "left")
     want = F.col("demand") - F.coalesce("supply", F.lit(0))
     return j.select(cell, "demand", F.coalesce("supply", F.lit(0)).alias("supply"), F.least(F.lit(cap), want).alias("missing")).where("missing > 0")
+
+
+def restored(answer: Column, candidates: Column, survivors: Column) -> Column:
+    """Struct status and answer, once a prover has said what survives of an answer's clauses and the candidates together: restored (all do), partially_restored (the whole answer and some candidate do) or not_inductive (the answer stays)."""
+    known = F.array_distinct(F.concat(answer, candidates))
+    lost = lambda part: F.size(F.array_except(part, survivors))
+    kept = F.filter(survivors, lambda c: F.array_contains(known, c))
+    more = (lost(answer) == 0) & (F.size(kept) > F.size(answer))
+    whole = (lost(known) == 0) & (F.size(F.array_except(survivors, known)) == 0)
+    status = F.when(whole, "restored").when(more, "partially_restored").otherwise("not_inductive")
+    return F.struct(status.alias("status"), F.when(whole, survivors).when(more, kept).otherwise(answer).alias("answer"))
+
+
+def to_restore(made: Column, answer_features: Column, candidate_features: Column) -> Column:
+    """Why a row is left alone, null for those to be tried: not made by synthesis, its answer has a clause of informative progress, or no candidate has. Features: arrays of booleans."""
+    some = lambda c: F.coalesce(F.exists(c, lambda x: x), F.lit(False))
+    return F.when(~F.coalesce(made, F.lit(False)), "archival_untouched").when(some(answer_features), "already_has_progress").when(~some(candidate_features), "no_candidate")

@@ -161,3 +161,13 @@ def replay_gate(done: Column, expected: Column, success: Column) -> Column:
 def verified(syntax: Column, invariants: Column, target: Column) -> Column:
     """Q3: right if the syntax is, every invariant is proved, and the target is, where there is one."""
     return F.coalesce(syntax, F.lit(False)) & F.coalesce(F.forall(invariants, lambda x: F.coalesce(x, F.lit(False))), F.lit(False)) & F.coalesce(target, F.lit(True))
+
+
+def tool_summary(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Q7: rows, completed and failed ones, verified, and means of tokens (all, and exactly counted ones) and seconds over the rows that have them. rows: generation_status, verified, total_tokens, token_accounting, generation_seconds."""
+    exact = F.when(F.col("token_accounting") == "exact", F.col("total_tokens"))
+    status = lambda v: F.count_if(F.col("generation_status") == v).alias(v)
+    return rows.groupBy(*by).agg(
+        F.count("*").alias("rows"), status("completed"), status("failed"), F.count_if("verified").alias("verified"), F.avg("total_tokens").alias("mean_total_tokens"), F.count("total_tokens").alias("token_rows"),
+        F.avg(exact).alias("mean_exact_total_tokens"), F.count(exact).alias("exact_token_rows"), F.avg("generation_seconds").alias("mean_generation_seconds"), F.count("generation_seconds").alias("time_rows"),
+    )

@@ -1,4 +1,4 @@
-"""Windows over traces of states (S5-S16, S18, S24, A35, W22, W23): rows (program, run, it, var columns)."""
+"""Windows over traces of states (S6, S8-S16, S19, S22, A35, W23): rows (program, run, it, var columns)."""
 
 from __future__ import annotations
 
@@ -96,3 +96,35 @@ def mislabelled(negatives: DataFrame, positives: DataFrame, hard: list[str], sof
     on = lambda p, cs: [F.col(c).eqNullSafe(F.col(f"{p}_{c}")) for c in cs]
     j = negatives.join(h, on("h", hard), "left").join(s, on("s", soft), "left")
     return j.agg(F.count("*").alias("negatives"), F.count("_h").alias("hard"), F.count("_s").alias("soft"))
+
+
+def blockers(groups: Column, relation: Column, escape: Column, random: Column, sampler: Column, relation_blockers: Column) -> Column:
+    """Why a program has no negative traces; empty if it has some. Counts by family, and what stood in the way of relation traces."""
+    absent = lambda n, kind: F.when(F.coalesce(n, F.lit(0)) == 0, F.lit(f"no_admissible_{kind}_trace"))
+    structured = F.array_compact(F.array(absent(relation, "relation"), absent(escape, "escape"), absent(random, "random")))
+    why = F.concat(F.coalesce(relation_blockers, F.array().cast("array<string>")), F.when(sampler == "random", F.array(F.lit("no_admissible_random_trace"))).otherwise(structured))
+    return F.when(groups > 0, F.array().cast("array<string>")).otherwise(why)
+
+
+def sample_stats(groups: Column, witnesses: Column, relation: Column, escape: Column, random: Column, sampler: Column, capped: Column) -> Column:
+    """The record of what a sample holds."""
+    fill = F.when(sampler == "structured", F.greatest(F.lit(0), F.lit(TOTAL) - relation - escape)).otherwise(TOTAL)
+    return F.struct(
+        groups.alias("n_traces"), witnesses.alias("n_witness_states"), relation.alias("relation"), escape.alias("escape"), random.alias("random"), sampler.alias("negative_sampler"), F.lit(TOTAL).alias("negative_budget"),
+        F.lit(RELATION).alias("relation_budget"), F.lit(ESCAPE).alias("escape_budget"), fill.alias("random_fill_budget"), capped.alias("capped"),
+    )
+
+
+def context_bases(states: DataFrame, by: list[str], context: str, order: str, variables: list[str], limit: int) -> DataFrame:
+    """Bases for a solver, `limit` of each group: for each variable the least and the greatest among the contexts' first states, then each context's first and its last state, then deeper ones in turn. The contexts count in the order of their first state."""
+    w = Window.partitionBy(*by, context).orderBy(order)
+    d = states.withColumns({"_depth": F.row_number().over(w) - 1, "_last": F.lead(order).over(w).isNull(), "_at": F.min(order).over(Window.partitionBy(*by, context))})
+    heads = d.where("_depth = 0")
+    picks = [F.struct(F.lit(2 * i + k).alias("turn"), F.lit(0).cast("long").alias("sub"), (F.min_by(order, F.struct(v, order)) if k == 0 else F.max_by(order, F.struct(F.col(v), -F.col(order)))).alias("o")) for i, v in enumerate(variables) for k in (0, 1)]
+    ends = heads.groupBy(*by).agg(F.array(*picks).alias("x")).select(*by, F.explode("x").alias("x")).select(*by, "x.*")
+    n = 2 * len(variables)
+    turn = F.when(F.col("_depth") == 0, n).when(F.col("_last"), n + 1).otherwise(n + 1 + F.col("_depth"))
+    rest = d.select(*by, turn.alias("turn"), F.col("_at").cast("long").alias("sub"), F.col(order).alias("o"))
+    first = ends.unionByName(rest).groupBy(*by, "o").agg(F.min(F.struct("turn", "sub")).alias("p"))
+    chosen = first.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("p.turn", "p.sub"))).where(F.col("place") <= limit).select(*by, F.col("o").alias(order), "place")
+    return states.join(chosen, [*by, order])

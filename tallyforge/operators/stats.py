@@ -139,8 +139,8 @@ def hash_uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def poisson_weight(u: Column, most: int = 6) -> Column:
-    """Poisson(1) count of a uniform number: how often a bootstrap replicate draws a cluster."""
+def poisson_weight(u: Column, most: int = 14) -> Column:
+    """Poisson(1) count of a uniform number of 32 bits: how often a bootstrap replicate draws a cluster. More than 13 is rarer than the numbers' last bit."""
     total, term, out = 0.0, 0.36787944117144233, F.lit(0)
     for i in range(most):
         total += term
@@ -169,3 +169,38 @@ def permutation_test(df: DataFrame, task: str, item: str, label: str, score: str
     r = r.groupBy("replicate").agg(F.sum(F.when(F.col("r") <= F.col("k"), F.col("s"))).alias("drawn"))
     out = r.crossJoin(F.broadcast(seen)).agg(F.count_if(F.col("drawn") >= F.col("observed")).alias("exceed"), F.count("*").alias("replicates"))  # one row
     return out.withColumn("p_value", (F.col("exceed") + 1) / (F.col("replicates") + 1))
+
+
+def resampled(clusters: DataFrame, key: list[str], stratum: list[str], replicates: int, seed: str) -> DataFrame:
+    """How often (w) each replicate draws each cluster: as many draws from a stratum, with replacement, as it has clusters. The draws are digests of (seed, replicate, stratum, number of the draw)."""
+    order = Window.partitionBy(*stratum).orderBy(*key)
+    c = clusters.select(*stratum, *key).withColumns({"_i": F.row_number().over(order) - 1, "_n": F.count("*").over(Window.partitionBy(*stratum))})
+    draws = c.select(*stratum, "_i", "_n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    u = hash_uniform(F.lit(seed), F.col("replicate"), *[F.col(s) for s in stratum], F.col("_i"))
+    drawn = draws.select(*stratum, "replicate", F.floor(u * F.col("_n")).cast("int").alias("_i")).groupBy(*stratum, "replicate", "_i").agg(F.count("*").alias("w"))
+    return drawn.join(c.drop("_n"), [*stratum, "_i"]).drop("_i")
+
+
+def bootstrap_auc(df: DataFrame, stratum: str, cluster: str, label: str, score: str, replicates: int, seed: str = "auc") -> DataFrame:
+    """AUROC and average precision of each replicate of a bootstrap of whole clusters, stratified. Rows are counted by cluster and score before they are multiplied."""
+    c = _score_counts(df, label, score, [stratum, cluster])
+    w = resampled(df.select(stratum, cluster).distinct(), [cluster], [stratum], replicates, seed)
+    c = c.join(w, [stratum, cluster]).groupBy("replicate", score).agg(F.sum(F.col("p") * F.col("w")).alias("p"), F.sum(F.col("n") * F.col("w")).alias("n"))
+    up, down = Window.partitionBy("replicate").orderBy(score).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("replicate").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    c = c.withColumns({"won": F.col("p") * (F.coalesce(F.sum("n").over(up), F.lit(0.0)) + F.col("n") / 2), "tp": F.sum("p").over(down), "seen": F.sum(F.col("p") + F.col("n")).over(down)})
+    out = c.groupBy("replicate").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum("won").alias("won"), F.sum(F.col("p") * ratio(F.col("tp"), F.col("seen"))).alias("ap"))
+    return out.select("replicate", ratio(F.col("won"), F.col("p") * F.col("n")).alias("auc"), ratio(F.col("ap"), F.col("p")).alias("average_precision"))
+
+
+def paired_bootstrap(tasks: DataFrame, task: str, x: str, y: str, replicates: int, seed: str = "pair") -> DataFrame:
+    """Of each replicate the means of x and y over the tasks drawn, and of their difference. tasks: a row a task."""
+    t = tasks.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.lit(0).alias("_all"), task, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    d = t.join(resampled(t, [task], ["_all"], replicates, seed), ["_all", task]).groupBy("replicate").agg(F.sum(F.col("x") * F.col("w")).alias("x"), F.sum(F.col("y") * F.col("w")).alias("y"), F.sum("w").alias("n"))
+    mean = lambda c: c / F.col("n")
+    return d.select("replicate", mean(F.col("x")).alias("mean_x"), mean(F.col("y")).alias("mean_y"), mean(F.col("x") - F.col("y")).alias("difference"))
+
+
+def interval(replicates: DataFrame, value: str, level: float = 0.95) -> DataFrame:
+    """The middle `level` of the replicates' values, by linear quantiles."""
+    tail = (1 - level) / 2
+    return replicates.agg(F.percentile(value, F.lit(tail)).alias("low"), F.percentile(value, F.lit(1 - tail)).alias("high"))

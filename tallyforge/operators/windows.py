@@ -1,4 +1,4 @@
-"""Selections and windows."""
+"""Selections and windows."""
 
 from __future__ import annotations
 
@@ -87,3 +87,21 @@ def print_throttle(df: DataFrame, by: list[str], it: str, head: int = 128, every
     """The first rows, then bursts; no more than `most` of each group."""
     d = df.where((F.col(it) <= head) | (F.col(it) % every < burst))
     return d.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(it))).where(F.col("_r") <= most).drop("_r")
+
+
+def every_nth(df: DataFrame, order: str, most: int) -> DataFrame:
+    """`most` rows at most, every n // most-th in order, n the number of rows. Rows are numbered from their ranges' counts, so that they are not sorted in one task."""
+    n = df.count()
+    step = max(1, n // most)
+    cuts = sorted(set(df.approxQuantile(order, [i / 64 for i in range(1, 64)], 0.01)))
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c <= F.col(order))) if cuts else F.lit(0)
+    d = df.withColumn("_part", part)
+    before = d.groupBy("_part").agg(F.count("*").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")  # 64 rows
+    d = d.join(F.broadcast(before), "_part").withColumn("_pos", F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1)
+    return d.where((F.col("_pos") % step == 0) & (F.col("_pos") < step * most)).select(*df.columns)
+
+
+def suite_order(suite: Column, case_id: Column, suites: list[str]) -> list[Column]:
+    """L4: what to sort by: the suite's place in the list, numbered cases by number, then the others by name."""
+    number = F.when(case_id.rlike("^[0-9]+$"), case_id.cast("long"))
+    return [F.array_position(F.array(*[F.lit(s) for s in suites]), suite), number.asc_nulls_last(), case_id]

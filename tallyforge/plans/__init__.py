@@ -1,6 +1,6 @@
 """Whole plans: registered queries and end-to-end scoring."""
 
-from . import evaluation, literal, relational
+from . import evaluation, further, literal, relational
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL", "evaluation", "literal", "relational"]

@@ -274,7 +274,7 @@ _U = "('0x' || substr(md5({0}), 1, 8))::UBIGINT / 4294967296.0::DOUBLE"
 @query(_FRACTIONS + f"""
 , c AS (SELECT task, sum(score) AS s, count(*) AS n FROM s GROUP BY 1),
 u AS (SELECT r AS replicate, s, n, {_U.format("'boot:' || r || ':' || task")} AS u FROM c, range(1, 51) t(r)),
-w AS (SELECT *, (u >= 0.0)::INTEGER * 0 + (u >= 0.36787944117144233::DOUBLE)::INTEGER + (u >= 0.7357588823428847::DOUBLE)::INTEGER + (u >= 0.9196986029286058::DOUBLE)::INTEGER + (u >= 0.9810118431238462::DOUBLE)::INTEGER + (u >= 0.9963401531726563::DOUBLE)::INTEGER + (u >= 0.9994058151824183::DOUBLE)::INTEGER AS w FROM u)
+w AS (SELECT *, (u >= 0.0)::INTEGER * 0 + (u >= 0.36787944117144233::DOUBLE)::INTEGER + (u >= 0.7357588823428847::DOUBLE)::INTEGER + (u >= 0.9196986029286058::DOUBLE)::INTEGER + (u >= 0.9810118431238463::DOUBLE)::INTEGER + (u >= 0.9963401531726563::DOUBLE)::INTEGER + (u >= 0.9994058151824183::DOUBLE)::INTEGER + (u >= 0.999916758850712::DOUBLE)::INTEGER + (u >= 0.9999897508033253::DOUBLE)::INTEGER + (u >= 0.999998874797402::DOUBLE)::INTEGER + (u >= 0.9999998885745216::DOUBLE)::INTEGER + (u >= 0.9999999899522336::DOUBLE)::INTEGER + (u >= 0.9999999991683892::DOUBLE)::INTEGER + (u >= 0.9999999999364022::DOUBLE)::INTEGER AS w FROM u)
 SELECT CAST(replicate AS INTEGER) AS replicate, round(sum(s * w) / sum(n * w), 6) AS estimate FROM w GROUP BY 1
 """)
 def bootstrap_replicates(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -22,5 +25,13 @@ def session(master: str = "local[*]", partitions: int = 8, **more: str) -> Spark
     return spark
 
 
+def checkpoints(spark: SparkSession) -> None:
+    """Have checkpoint() write to the folder of spark.checkpoint.dir; to one of this machine only where none is named and all runs in this process."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='tallyforge-')}")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
