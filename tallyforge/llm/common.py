@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -195,3 +195,13 @@ def keyed(docs: DataFrame, text: str = "text") -> tuple[DataFrame, bool]:
         return docs.withColumn("_key", F.col("doc_id").cast("long")), True
     ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), text)
     return stage(ordered.withColumn("_key", F.monotonically_increasing_id()), "keyed"), False
+
+
+def packed(docs: DataFrame, *used: str) -> DataFrame:
+    """docs as one struct column `rest`, and the columns used: none of docs' names can clash with those that an operator adds."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest"), *[F.col(f"`{c}`") for c in used])
+
+
+def unpacked(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of `rest`, some of them changed."""
+    return df.select(*[changed.get(c, F.col("rest").getField(c)).alias(c) for c in columns])

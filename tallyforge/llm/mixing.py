@@ -12,7 +12,7 @@ missing. So the words taken equal the target to the word, whatever the sizes, an
 Skew: the running sum within a source is taken in 4096 digest buckets, whose sums are added up first. No task sees
 more than its buckets, though one source may hold a third of all rows.
 
-Cases: null or empty text counts 0 words and is taken 0 times. A null source is a source of its own, the last. Null
+Cases: very long texts are read whole. Extra columns stay in `mixed`, whatever their names. Null or empty text counts 0 words and is taken 0 times. A null source is a source of its own, the last. Null
 doc_ids share one digest and are ordered by size. Repeated rows are each a document. No rows: no rows.
 """
 
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, keyed, stage
+from .common import WORD, keyed, packed, stage, unpacked
 
 
 def _digest(doc_id: str, seed: str) -> Column:
@@ -72,9 +72,9 @@ def mixed(docs: DataFrame, max_epochs: int = 3, weights: tuple[float, ...] = (1,
     Whole documents only: a partial round counts as a whole one if it takes at least half of the document's words.
     Rows are told apart by common.keyed, so that null and shared doc_ids are mixed row by row. Documents without words are left out.
     """
-    d, _ = keyed(docs)
+    d, _ = keyed(packed(docs, "doc_id", "source", "text"))
     plan = mix_plan(d, max_epochs, weights, seed, key="_key")
     times = (F.col("repeats") + (F.col("rest") * 2 >= F.col("size")).cast("long")).cast("int")
     plan = plan.where("size > 0").select(F.col("_key").alias("_mix_id"), times.alias("_mix_times")).where("_mix_times > 0")
-    repeated = d.join(plan, d["_key"] == plan["_mix_id"])
-    return repeated.withColumn("_mix_round", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*docs.columns)
+    repeated = d.join(plan, d["_key"] == plan["_mix_id"]).withColumn("_mix_round", F.explode(F.sequence(F.lit(1), F.col("_mix_times"))))
+    return unpacked(repeated, docs.columns)

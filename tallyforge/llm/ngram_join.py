@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, components, keyed, mix, releasing, shingle_hashes, stage
+from .common import SHINGLE_WORDS, components, keyed, mix, packed, releasing, shingle_hashes, stage, unpacked
 
 COUNTER_BITS = 20
 CHUNK, BLOOM_CHUNK = 1 << 12, 1 << 16
@@ -352,6 +352,6 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = SHINGLE_WOR
 
 def keep_first(docs: DataFrame, percent: int = 80, words: int = SHINGLE_WORDS) -> DataFrame:
     """docs without the near duplicates: of each component the document with the smallest doc_id stays; null and shared doc_ids are told apart by common.keyed."""
-    d, _ = keyed(docs)
+    d, _ = keyed(packed(docs, "doc_id", "text"))
     found = near_duplicates(d.select(F.col("_key").alias("doc_id"), "text"), percent, words).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return d.join(found, d["_key"] == found["_gone"], "left_anti").select(*docs.columns)
+    return unpacked(d.join(found, d["_key"] == found["_gone"], "left_anti"), docs.columns)
