@@ -37,9 +37,9 @@ from .common import freed, small_batches
 
 #: Unicode White_Space: what \s means in tokenizer files (Python's also takes U+001C to U+001F).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Words, and pairs of tokens, that a worker remembers: some 15 MB each, dropped with the encoder when its task ends.
-CACHED_WORDS = 1 << 16
-CACHED_PAIRS = 1 << 17
+#: Words, and pairs of tokens, that a worker remembers: some 60 MB each at most, dropped with the encoder when its task ends.
+CACHED_WORDS = 1 << 17
+CACHED_PAIRS = 1 << 19
 
 
 def byte_letters() -> list[str]:
@@ -161,30 +161,38 @@ class Encoder:
         return not any(self.pattern.findall(f"a{c}{c} b") != ["a", "b"] for c in "\t\n 　")
 
     def encode_word(self, word: str) -> list[int]:
-        letters = "".join(map(self.letters.__getitem__, word.encode("utf-8", "surrogatepass"))) + self.end
-        longest = [-1] * len(letters)
-        length = self.length
+        # letters and digits of ASCII stand for themselves
+        letters = word + self.end if word.isascii() and word.isalnum() else "".join(map(self.letters.__getitem__, word.encode("utf-8", "surrogatepass"))) + self.end
+        n, length, fits = len(letters), self.length, self.pairs.fits
+        longest = [-1] * n
         for last, token in self.automaton.iter(letters):
-            at = last + 1 - length[token]
-            if longest[at] < 0 or length[longest[at]] < length[token]:
-                longest[at] = token
-        out: list[int] = []
-        open_ = [True] * (len(letters) + 1)
-        at, token = 0, longest[0]
-        while at < len(letters):
-            while token >= 0 and not (open_[at + length[token]] and (not out or self.pairs.fits(out[-1], token))):
-                token = self.shorter[token]
+            longest[last + 1 - length[token]] = token  # ends come in order: of one start the longest is the last
+        known, shorter, fits = self.pairs.known.get, self.shorter, self.pairs.fits
+        out, closed, at, left, token = [], (), 0, -1, longest[0]
+        while at < n:
+            # the longest token here that does not end at a place given up and is compatible with the one before
+            while token >= 0:
+                if not closed or at + length[token] not in closed:
+                    if left < 0:
+                        break
+                    fit = known(left << 32 | token)
+                    if fit or (fit is None and fits(left, token)):
+                        break
+                token = shorter[token]
             if token >= 0:
                 out.append(token)
                 at += length[token]
-                token = longest[at] if at < len(letters) else -1
+                left, token = token, longest[at] if at < n else -1
             elif out:
-                open_[at] = False
+                closed = closed or set()
+                closed.add(at)
                 token = out.pop()
                 at -= length[token]
+                left, token = out[-1] if out else -1, shorter[token]
             else:
                 raise ValueError(f"no tokens spell {word!r}")
-        return [self.ids[t] for t in out]
+        ids = self.ids
+        return [ids[t] for t in out]
 
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
