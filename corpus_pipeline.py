@@ -27,7 +27,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated runs of lines are cut out of the texts; documents of which nothing but blanks is left go. A null text stays."""
-    cut = line_dedup.dedup(packed(docs, "doc_id", "text"))
+    cut = line_dedup.dedup(packed(docs, "doc_id", "text", without=("text",)))  # a text moves once
     cut = cut.where((F.col("n_runs") == 0) | (F.col("n_removed") < F.col("n_lines")))
     n_chars = F.when(F.col("n_runs") > 0, F.length("text")).otherwise(F.col("rest.n_chars"))
     return unpacked(cut, docs.columns, text=F.col("text"), n_chars=n_chars.cast(docs.schema["n_chars"].dataType))

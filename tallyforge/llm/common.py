@@ -197,9 +197,9 @@ def keyed(docs: DataFrame, text: str = "text") -> tuple[DataFrame, bool]:
     return stage(ordered.withColumn("_key", F.monotonically_increasing_id()), "keyed"), False
 
 
-def packed(docs: DataFrame, *used: str) -> DataFrame:
-    """docs as one struct column `rest`, and the columns used: none of docs' names can clash with those that an operator adds."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest"), *[F.col(f"`{c}`") for c in used])
+def packed(docs: DataFrame, *used: str, without: tuple[str, ...] = ()) -> DataFrame:
+    """docs as one struct column `rest` (without some), and the columns used: none of docs' names can clash with those that an operator adds."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in without]).alias("rest"), *[F.col(f"`{c}`") for c in used])
 
 
 def unpacked(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
