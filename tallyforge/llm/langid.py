@@ -33,6 +33,8 @@ from .common import freed, releasing, small_batches
 DIM = 1 << 13
 SAMPLE, MOST = 400, 4800
 RIDGE = 0.05
+#: Columns of features that the solver widens at a time.
+BLOCK = 512
 #: The runner-up's score over the best one's from which a text counts as ambiguous.
 CLOSE = 0.8
 _LETTER = regex.compile(r"\p{L}")
@@ -92,13 +94,18 @@ def solve(langs: list[str], x: np.ndarray, y: np.ndarray) -> Model:
     code = codewords(len(langs)).astype(np.float64)
     if len(langs) < 2:
         return Model(langs, np.zeros((DIM, 0), np.float32), np.zeros(0), np.zeros(0), np.zeros(0))
-    mean = x.mean(0)
-    z = (x - mean).astype(np.float64)
-    inverse = np.linalg.inv(z @ z.T + RIDGE * np.eye(len(z)))
+    mean = x.mean(0, dtype=np.float64)
+    # the features are centred and widened some columns at a time: all at once they would be the driver's largest arrays
+    blocks = [slice(at, at + BLOCK) for at in range(0, DIM, BLOCK)]
+    products = RIDGE * np.eye(len(x))
+    for b in blocks:
+        z = x[:, b] - mean[b]
+        products += z @ z.T
+    inverse = np.linalg.inv(products)
     bits = code[y]
     centre = bits.mean(0)
     dual = inverse @ (bits - centre)
-    weights = z.T @ dual
+    weights = np.concatenate([(x[:, b] - mean[b]).T @ dual for b in blocks])
     left_out = bits - dual / np.diag(inverse)[:, None]
     good = (bits * left_out).mean(0)
     wrong = (bits * left_out <= 0).mean(0)
@@ -132,8 +139,10 @@ def train(labelled: DataFrame, sample: int = SAMPLE, most: int = MOST, text: str
     picked = usable.where(F.col("doc_id").isin(chosen)).select(F.col("doc_id").alias("id"), F.col(lang).alias("l"), F.col(text).alias("t"))
     got = picked.mapInPandas(rows, "id long, l string, x binary").toPandas().sort_values(["l", "id", "x"]).groupby("l").head(sample)
     langs = sorted(got["l"].unique())
-    x = np.frombuffer(b"".join(got["x"]), np.float16).reshape(-1, DIM).astype(np.float32)
-    return solve(langs, x, got["l"].map({v: i for i, v in enumerate(langs)}).to_numpy(int))
+    y = got["l"].map({v: i for i, v in enumerate(langs)}).to_numpy(int)
+    x = np.frombuffer(b"".join(got.pop("x")), np.float16).reshape(-1, DIM)
+    with freed():
+        return solve(langs, x, y)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
